@@ -80,3 +80,14 @@ def connected_components(edges: DataFrame, tag: str) -> DataFrame:
             break
         seen = now
     return e.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(e.select("dst", "dst").distinct())
+
+
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """docs as a struct d of all its columns beside copies of the named ones, so that columns that an
+    operator adds can't clash with its input's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), *[F.col(f"`{n}`") for n in names])
+
+
+def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of a packed frame again, some replaced."""
+    return df.select(*[(new[c] if c in new else F.col(f"d.`{c}`")).alias(c) for c in columns])

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import WORD, materialize
+from corpusmill.llm.common import WORD, materialize, packed, unpacked
 
 WEIGHTS = (1, 2, 3)
 #: Times its size that a source, and a document, gives at most.
@@ -82,17 +82,21 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, shards, local_order) for every row of docs
-    (doc_id, text, source). shards: the shard of each time that the document is taken, the last time
-    perhaps in part; local_order: its place within those shards."""
-    spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
-    sized = materialize(sized, "mixing-sizes")
+def _hash(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
+
+
+def _blocks(sized: DataFrame, per: int) -> DataFrame:
+    return sized.withColumn("block", F.pmod("h", F.lit(per)).cast("int"))
+
+
+def _plan(sized: DataFrame, weights: Sequence[float], seed: int) -> tuple[DataFrame, int]:
+    """(source, block, source_size, target, whole, part, shards) for the blocks of sized (source, size, h), and
+    the blocks per source."""
+    spark = sized.sparkSession
     n_sources = max(1, sized.select("source").distinct().count())
     per = max(1, min(BLOCKS, BLOCK_ROWS // n_sources))
-    blocked = sized.withColumn("block", F.pmod("h", F.lit(per)).cast("int"))
-    rows = blocked.groupBy("source", "block").agg(F.sum("size").alias("words")).collect()
+    rows = _blocks(sized, per).groupBy("source", "block").agg(F.sum("size").alias("words")).collect()
 
     words: dict[str | None, dict[int, int]] = {}
     for r in rows:
@@ -135,18 +139,31 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = SEED) -
         for b in sorted(words[s])
     ]
     schema = "source string, block int, source_size long, target double, whole int, part long, shards array<int>"
-    known = F.broadcast(spark.createDataFrame(table, schema))
-    joined = blocked.alias("d").join(known.alias("k"), F.expr("d.source <=> k.source and d.block = k.block"))
-    joined = joined.select("d.doc_id", "d.source", "d.size", "d.h", "d.block", "k.source_size", "k.target", "k.whole", "k.part", "k.shards")
+    return F.broadcast(spark.createDataFrame(table, schema)), per
+
 
+def _taken(blocked: DataFrame, known: DataFrame) -> DataFrame:
+    """blocked (.., source, size, h, block) with the columns of its block's plan and extra, the words taken
+    of a document besides whole rounds."""
+    own = ("source_size", "target", "whole", "part", "shards")
+    joined = blocked.alias("d").join(known.alias("k"), F.expr("d.source <=> k.source and d.block = k.block"))
+    joined = joined.select("d.*", *[f"k.{c}" for c in own])
     # One block per source is taken in part: its documents in hash order until the words are reached.
-    before = Window.partitionBy("source").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("source").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
     cut = joined.filter("part > 0").withColumn("used", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    cut = cut.withColumn("extra", F.greatest(F.lit(0), F.least("size", F.col("part") - F.col("used"))))
-    full = joined.filter("part = 0").withColumn("extra", F.lit(0).cast("long"))
-    both = full.unionByName(cut.drop("used"))
+    cut = cut.withColumn("extra", F.greatest(F.lit(0), F.least("size", F.col("part") - F.col("used")))).drop("used")
+    return joined.filter("part = 0").withColumn("extra", F.lit(0).cast("long")).unionByName(cut)
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = SEED) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, shards, local_order) for every row of docs
+    (doc_id, text, source). shards: the shard of each time that the document is taken, the last time
+    perhaps in part; local_order: its place within those shards."""
+    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), _hash(seed).alias("h"))
+    sized = materialize(sized, "mixing-sizes")
+    known, per = _plan(sized, weights, seed)
     times = F.col("whole") + (F.col("extra") > 0).cast("int")
-    return both.select(
+    return _taken(_blocks(sized, per), known).select(
         "doc_id",
         "source",
         "size",
@@ -156,3 +173,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = SEED) -
         F.slice("shards", 1, times).alias("shards"),
         F.xxhash64(F.lit(seed + 1), "h").alias("local_order"),
     )
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = SEED) -> DataFrame:
+    """docs with each row as often as the mix takes it; a part of half a document or more counts as one."""
+    sized = packed(docs, "doc_id", "text", "source").select("d", "source", size_of(F.col("text")).alias("size"), _hash(seed).alias("h"))
+    small = materialize(sized.select("source", "size", "h"), "mixing-sizes")
+    known, per = _plan(small, weights, seed)
+    times = F.col("whole") + (2 * F.col("extra") >= F.greatest("size", F.lit(1))).cast("int")
+    copies = F.explode(F.array_repeat(F.lit(0), times))
+    return unpacked(_taken(_blocks(sized, per), known).select("d", copies.alias("copy")), docs.columns)

@@ -15,7 +15,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import WORD, let
+from corpusmill.llm.common import WORD, let, packed, unpacked
 
 SPACE = "\x20\t\n\x0b\f\r"
 SYMBOLS = "[#*$%&|<>]"
@@ -72,11 +72,11 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) > WINDOW, count).otherwise(0)
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the counts that the rules need."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    split = docs.withColumn("__words", words_of(F.col(text)))
-    w = F.col("__words")
+def measured(docs: DataFrame) -> DataFrame:
+    """docs (.., text) with the counts that the rules need."""
+    t = F.coalesce("text", F.lit(""))
+    split = docs.withColumn("words", words_of(F.col("text")))
+    w = F.col("words")
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
     out = split.withColumns(
         {
@@ -90,7 +90,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_repeat_words": repeated_words(w).cast("long"),
         }
     )
-    return out.drop("__words")
+    return out.drop("words")
 
 
 MEASURES = {
@@ -128,6 +128,5 @@ def quality_report(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
 
 def quality_filter(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
     """The rows of docs that the rules keep, with their own columns."""
-    names = [F.col(f"__d.`{c}`").alias(c) for c in docs.columns]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__d"), F.col("text").alias("__text"))
-    return measured(packed, "__text").filter(~base_failed() & within(thresholds)).select(*names)
+    kept = measured(packed(docs, "text")).filter(~base_failed() & within(thresholds))
+    return unpacked(kept, docs.columns)

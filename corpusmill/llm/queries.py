@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import mixing, packing, quality, secrets, simhash, tokens
+from corpusmill.llm import langid, mixing, packing, pii, quality, secrets, simhash, tokens, toxicity, vectors
 from corpusmill.llm.common import table
 
 
@@ -34,12 +34,42 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(table(spark, sf_dir, "documents"))
+
+
+ALL = (
+    op1_secret_scan,
+    op2_source_mixing,
+    op3_token_counts,
+    op4_simhash_dedup,
+    op5_quality_rules,
+    op6_toxicity,
+    op7_personal_data,
+    op8_embedding_dedup,
+    op9_best_fit_packing,
+    op10_language_id,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_source_mixing, op3_token_counts, op4_simhash_dedup, op5_quality_rules, op9_best_fit_packing)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,7 +18,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import materialize
+from corpusmill.llm.common import materialize, packed, unpacked
 from corpusmill.llm.spans import find, joined, kind_spans, masked, none
 
 #: Fixed patterns: the base kinds, in their order, then those that the method adds.
@@ -185,8 +185,11 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, marker: str = "[SECRET]") -> DataFrame:
-    """docs with every found secret in text replaced by the marker."""
-    found = with_secrets(docs)
-    names = [f"found_{k}" for k in RULES]
-    spans = F.array_sort(kind_spans(dict(zip(RULES, names))))
-    return found.withColumn("text", masked(F.col("text"), spans, marker)).drop(*names)
+    """docs with every found secret in text replaced by the marker, and n_chars, if there, brought in line."""
+    found = with_secrets(packed(docs, "doc_id", "text"))
+    spans = F.array_sort(kind_spans({k: F.col(f"found_{k}") for k in RULES}))
+    found = found.withColumn("masked", masked(F.col("text"), spans, marker))
+    new = {"text": F.col("masked")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("masked") != F.col("text"), F.length("masked")).otherwise(F.col("d.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return unpacked(found, docs.columns, **new)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import bounded_arrow, connected_components, materialize
+from corpusmill.llm.common import bounded_arrow, connected_components, materialize, packed, unpacked
 
 RADIUS = 3
 SHINGLE = 3
@@ -133,12 +133,34 @@ def fingerprint_links(values: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.repartition("t", "k").sortWithinPartitions("t", "k").mapInPandas(_bucket_edges(radius), "src long, dst long")
 
 
+def _components(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, c) for every fingerprint of prints, c the same for those that links connect."""
+    values = materialize(prints.select("fp").distinct(), "simhash-classes")
+    parts = connected_components(fingerprint_links(values, radius), "simhash-links")
+    return values.join(parts, values.fp == parts.node, "left").select("fp", F.coalesce("component", "fp").alias("c"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs (doc_id, text)."""
     prints = materialize(with_fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"), "simhash")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    parts = connected_components(fingerprint_links(classes.select("fp"), radius), "simhash-links")
-    named = classes.join(parts, classes.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    named = least.join(_components(prints, radius), "fp")
     first = named.groupBy("c").agg(F.min("least").alias("component_id"))
     ids = named.join(first, "c").select("fp", "component_id")
     return prints.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id (null last), ties by text."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h"))
+    prints = materialize(with_fingerprints(docs.select("doc_id", "text")).select(key.alias("key"), "fp"), "simhash")
+    # Per fingerprint the first key and how many rows have it; then the first of each component.
+    counted = prints.groupBy("fp", "key").count().groupBy("fp").agg(F.min(F.struct("key", "count")).alias("first"))
+    best = counted.join(_components(prints, radius), "fp").groupBy("c").agg(F.min("first").alias("first"))
+    best = best.select("first.key.doc_id", F.col("first.key.h").alias("h"), F.col("first.count").alias("n"))
+    named = packed(docs, "doc_id", "text").withColumn("h", F.xxhash64("text")).alias("x")
+    on = F.expr("x.doc_id <=> b.doc_id and x.h = b.h")
+    kept = named.join(best.alias("b"), on).select("x.d", "x.doc_id", "x.text", "b.n")
+    single = kept.filter("n = 1").select("d")
+    repeated = kept.filter("n > 1").dropDuplicates(["doc_id", "text"]).select("d")
+    return unpacked(single.union(repeated), docs.columns)
