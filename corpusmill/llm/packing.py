@@ -13,9 +13,11 @@ doc_id is packed like any other; an empty table gives an empty result; further c
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -26,7 +28,7 @@ from corpusmill.llm.common import bounded_arrow, materialize
 
 CAPACITY = 2048
 SEPARATOR = 0
-#: Chunks whose ids a worker keeps; when there are more it starts again.
+#: Chunks whose ids a worker keeps, in each of two generations.
 KEPT = 500_000
 #: Pieces of one length that are ranked in one task, on average; more get further salts.
 RANKED = 500_000
@@ -35,15 +37,34 @@ MAX_SALTS = 4096
 PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 
 
+#: Letters, which composition leaves alone and lower-casing maps one to one, and other such characters.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+PLAIN = re.compile(f"[!-&(-~{LETTERS}\u00a1\u00ab\u00bb\u00bf]+")
+PLAIN_CHUNKS = re.compile(f"[ -&(-~{LETTERS}\u00a1\u00ab\u00bb\u00bf]*")
+#: Of plain characters: 0 blank, 1 letter, 2 digit, 3 other. A pre-token is a run of letters, a run of
+#: others or a digit, and ends in one end-of-word token.
+CLASSES = np.array([0 if c == 32 else 1 if re.match(f"[{LETTERS}]", chr(c)) else 2 if 48 <= c < 58 else 3 for c in range(0x250)], np.int8)
+END_OF_WORD = "</w>"
+
+
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes, by chunks between blanks, which encode on their own:
-    no pattern of the pre-tokenizer and no composition of the normalizer reaches over a blank."""
+    """Ids of texts by chunks between blanks, which encode on their own: no pattern of the pre-tokenizer and
+    no composition of the normalizer reaches over a blank. The ids of known chunks lie in one array; new
+    chunks of plain characters are encoded together and divided at their end-of-word tokens."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(END_OF_WORD)]] = True
+        self.old: tuple = ()
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     @staticmethod
     def chunks(text: str | None) -> list[bytes]:
@@ -51,18 +72,68 @@ class Encoder:
         # letters are lower-cased by the normalizer anyway; not where they might then spell a special string
         return (raw if b"<|" in raw else raw.lower()).split()
 
-    def __call__(self, texts) -> Iterator[bytes]:
+    def add(self, chunks: list[bytes]) -> None:
+        alone: list[bytes] = []
+        for at in range(0, len(chunks), 2000):
+            part = chunks[at : at + 2000]
+            text = b" ".join(part).decode("utf-8", "surrogatepass")
+            if "<|" in text or not PLAIN_CHUNKS.fullmatch(text):
+                plain = [c for c in part if b"<|" not in c and PLAIN.fullmatch(c.decode("utf-8", "surrogatepass"))]
+                alone += set(part).difference(plain)
+                part, text = plain, b" ".join(plain).decode()
+            if not part:
+                continue
+            kinds = CLASSES[np.frombuffer(text.encode("utf-32-le"), "<u4")]
+            begins = (kinds > 0) & ((kinds == 2) | (kinds != np.concatenate([[0], kinds[:-1]])))
+            words = np.cumsum(begins)[np.append(np.flatnonzero(kinds == 0), len(kinds) - 1)]
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == words[-1]:
+                self.keep(part, ids, np.diff(ends[words - 1], prepend=0))
+            else:
+                alone += part
+        for at in range(0, len(alone), 5000):
+            part = alone[at : at + 5000]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "surrogatepass") for c in part], add_special_tokens=False)]
+            self.keep(part, np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64))
+
+    def keep(self, chunks: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(chunks, range(len(self.sizes), len(self.sizes) + len(chunks))))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+
+    def __call__(self, texts) -> Iterator[np.ndarray]:
         split = [self.chunks(t) for t in texts]
-        if len(self.known) > KEPT:
-            self.known = {}
-        rest = list(set().union(*split) - self.known.keys())
-        for at in range(0, len(rest), 20_000):
-            part = rest[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "surrogatepass") for c in part], add_special_tokens=False)
-            self.known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(part, found))
-        get = self.known.__getitem__
-        for chunks in split:
-            yield b"".join(map(get, chunks))
+        counts = np.array([len(c) for c in split], np.int64)
+        if len(self.known) > KEPT:  # the last generation is asked before the tokenizer is
+            self.old = (self.known, self.ids, self.starts, self.sizes)
+            self.clear()
+        every = [c for chunks in split for c in chunks]
+        at = np.fromiter(map(self.known.get, every, repeat(-1)), np.int64, len(every))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = list({every[i] for i in missing})
+            if self.old:
+                known, ids, starts, sizes = self.old
+                place = np.array([known.get(c, -1) for c in new], np.int64)
+                again = place[place >= 0]
+                self.keep([c for c, p in zip(new, place) if p >= 0], ids[_ranges(starts[again], sizes[again])], sizes[again])
+                new = [c for c, p in zip(new, place) if p < 0]
+            if new:
+                self.add(new)
+            at[missing] = [self.known[every[i]] for i in missing]
+        sizes = self.sizes[at]
+        ids = self.ids[_ranges(self.starts[at], sizes)]
+        ends = np.cumsum(sizes)[np.cumsum(counts) - 1] if len(every) else np.zeros(len(split), np.int64)
+        ends = np.maximum.accumulate(np.where(counts > 0, ends, 0)) if len(split) else ends
+        for start, end in zip(np.concatenate([[0], ends[:-1]]), ends):
+            yield ids[start:end]
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions starts[i] .. starts[i] + sizes[i] - 1, one range after another."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
 
 
 @lru_cache(maxsize=2)
@@ -73,8 +144,8 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def cut(ids: bytes, capacity: int, separator: int) -> list[dict]:
-    raw = ids + int(separator).to_bytes(4, "little")
+def cut(ids: np.ndarray, capacity: int, separator: int) -> list[dict]:
+    raw = ids.astype("<u4").tobytes() + int(separator).to_bytes(4, "little")
     step = 4 * capacity
     return [
         {"piece": k, "start": at // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)}
