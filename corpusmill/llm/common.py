@@ -91,3 +91,10 @@ def packed(docs: DataFrame, *names: str) -> DataFrame:
 def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
     """The columns of a packed frame again, some replaced."""
     return df.select(*[(new[c] if c in new else F.col(f"d.`{c}`")).alias(c) for c in columns])
+
+
+def bounded_sample(rows: DataFrame, n: int) -> DataFrame:
+    """The n rows (doc_id, ..) first by hash of doc_id, ties with the last included: only hashes are ranked."""
+    hashed = rows.withColumn("__h", F.xxhash64("doc_id"))
+    first = [r[0] for r in hashed.select("__h").orderBy("__h").limit(n).collect()]
+    return hashed.filter(F.col("__h") <= (first[-1] if first else 0)).drop("__h")

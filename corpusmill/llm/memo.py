@@ -1,0 +1,103 @@
+"""What a worker remembers of the chunks of text it has seen: a bounded table from chunk to row.
+
+Two generations bound the memory: when the table is full it becomes the old one, which is asked before a
+chunk is worked out again. The most frequent chunks also lie in a small table that fits the caches."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from itertools import repeat
+
+import numpy as np
+
+#: Chunks of the small table.
+HOT = 1 << 14
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions starts[i] .. starts[i] + sizes[i] - 1, one range after another."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
+class Memo:
+    """Subclasses hold the rows: clear(), rows(), learn(chunks) and carry(chunks, places, rows) call keep()."""
+
+    def __init__(self, kept: int):
+        self.kept = kept
+        self.old: tuple | None = None
+        self._start()
+
+    def _start(self) -> None:
+        self.known: dict = {}
+        self.hot: dict = {}
+        self.batches = 0
+        self.clear()
+
+    def register(self, chunks: list) -> None:
+        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
+
+    def index(self, every: list) -> np.ndarray:
+        """The row of each chunk; unknown ones are learnt first."""
+        if len(self.known) > self.kept:
+            self.old = (self.known, self.rows())
+            self._start()
+        at = np.fromiter(map((self.hot or self.known).get, every, repeat(-1)), np.int64, len(every))
+        missing = np.flatnonzero(at < 0)
+        if self.hot and len(missing):
+            rest = [every[i] for i in missing.tolist()]
+            at[missing] = np.fromiter(map(self.known.get, rest, repeat(-1)), np.int64, len(rest))
+            missing = missing[at[missing] < 0]
+        if len(missing):
+            rest = [every[i] for i in missing.tolist()]
+            new = list(set(rest))
+            if self.old:
+                place = np.fromiter(map(self.old[0].get, new, repeat(-1)), np.int64, len(new))
+                self.carry([c for c, p in zip(new, place) if p >= 0], place[place >= 0], self.old[1])
+                new = [c for c, p in zip(new, place) if p < 0]
+            if new:
+                self.learn(new)
+            at[missing] = np.fromiter(map(self.known.__getitem__, rest), np.int64, len(rest))
+        self.batches += 1
+        if self.batches in (1, 8, 64) and len(at):
+            often = np.argsort(np.bincount(at))[: -HOT - 1 : -1]
+            names = list(self.known)
+            self.hot = {names[i]: i for i in often.tolist()}
+        return at
+
+
+class Rows(Memo):
+    """Chunks with a row of numbers each, as make(chunks) computes them."""
+
+    def __init__(self, make: Callable[[list], np.ndarray], width: int, kept: int):
+        self.make, self.width = make, width
+        super().__init__(kept)
+
+    def clear(self) -> None:
+        self.values = np.zeros((0, self.width))
+
+    def rows(self):
+        return self.values
+
+    def keep(self, chunks: list, values: np.ndarray) -> None:
+        self.register(chunks)
+        self.values = np.concatenate([self.values, values])
+
+    def learn(self, chunks: list) -> None:
+        self.keep(chunks, self.make(chunks))
+
+    def carry(self, chunks: list, places: np.ndarray, rows) -> None:
+        self.keep(chunks, rows[places])
+
+    def __call__(self, split: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of all chunks of all documents, and each document's number of chunks."""
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        at = self.index([c for chunks in split for c in chunks])
+        return self.values[at], counts
+
+
+def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sum of each document's rows."""
+    total = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0)])
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]

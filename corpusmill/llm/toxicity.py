@@ -28,16 +28,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import bounded_arrow, packed, unpacked
+from corpusmill.llm.common import WORD, bounded_arrow, bounded_sample, packed, unpacked
+from corpusmill.llm.memo import Rows, ranges
 
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
-SAMPLE = 1500
-SAMPLE_CHARS = 20_000
+SAMPLE = 1000
+SAMPLE_CHARS = 15_000
+#: Tokens of a block of documents that fitting passes over at once.
+BLOCK = 150_000
 #: Documents of the sample that a feature has to be in.
 MIN_DOCS = 4
-#: Log odds of toxic to other documents from which a token of a toxic document is labelled.
-ODDS = 3.0
+#: A token of a toxic document is labelled when a feature of it has such log odds of toxic to other
+#: documents, and its shares among them differ by so many standard deviations.
+ODDS, DEVIATES = 2.0, 4.5
 STEMS = (4, 5, 6, 7)
 LANE = 256
 KEPT = 400_000
@@ -162,49 +166,66 @@ def fit(texts: list[str], labels: list[int], weights: list[float] | None = None)
     y = np.asarray(labels)
     if len(set(labels)) < 2:
         return None
-    docs = [t.split() for t in texts]
-    of: dict[str, list[str]] = {c: features(c) for d in docs for c in d}
+    number: dict[bytes, int] = {}
+    docs = [np.array([number.setdefault(c, len(number)) for c in t.encode().lower().split()], np.int64) for t in texts]
+    of = [features(c.decode("utf-8", "replace")) for c in number]
     in_docs, in_toxic = Counter(), Counter()
     for d, label in zip(docs, labels):
-        own = {f for c in set(d) for f in of[c]}
+        own = {f for c in np.unique(d).tolist() for f in of[c]}
         in_docs.update(own)
         if label:
             in_toxic.update(own)
+    n1, n0 = int(y.sum()), int((1 - y).sum())
     names = [f for f, n in in_docs.items() if n >= MIN_DOCS]
     at = {f: i for i, f in enumerate(names)}
-    n1, n0 = int(y.sum()), int((1 - y).sum())
-    odds = np.array([math.log((in_toxic[f] + 0.5) / (n1 + 1)) - math.log((in_docs[f] - in_toxic[f] + 0.5) / (n0 + 1)) for f in names])
-
-    ids = {c: [at[f] for f in fs if f in at] for c, fs in of.items()}
-    marked = {c: any(odds[i] > ODDS for i in own) for c, own in ids.items()}
-    lengths = np.array([len(d) for d in docs])
-    target = np.array([marked[c] and bool(label) for d, label in zip(docs, labels) for c in d], float)
-    flat = [ids[c] for d in docs for c in d]
-    feature = np.fromiter((i for own in flat for i in own), np.int64)
-    token = np.repeat(np.arange(len(flat)), [len(own) for own in flat])
-    chain = Chain(lengths)
-    # The model's own expectations are matched to the labels' by AdaGrad, with a pull to zero.
+
+    def tells(f: str) -> bool:
+        a, b = in_toxic[f], in_docs[f] - in_toxic[f]
+        odds = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
+        share = (a + b) / (n1 + n0)
+        return odds > ODDS and (a / n1 - b / n0) / math.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12) > DEVIATES
+
+    marked = np.array([any(tells(f) for f in fs) for fs in of], bool)
+    ids = [[at[f] for f in fs if f in at] for fs in of]
+    sizes = np.array([len(own) for own in ids], np.int64)
+    starts, flat = np.cumsum(sizes) - sizes, np.array([i for own in ids for i in own], np.int64)
+    del in_docs, in_toxic, of, ids
+    # Blocks of documents, so that the passes need little memory; with each token's features and target.
+    blocks = []
+    for part in np.array_split(np.arange(len(docs)), max(1, sum(map(len, docs)) // BLOCK)):
+        own = np.concatenate([docs[i] for i in part]) if len(part) else np.zeros(0, np.int64)
+        lengths = np.array([len(docs[i]) for i in part], np.int64)
+        target = marked[own] & np.repeat(y[part] == 1, lengths)
+        token = np.repeat(np.arange(len(own)), sizes[own])
+        blocks.append((Chain(lengths), flat[ranges(starts[own], sizes[own])], token, target.astype(float)))
     gold = np.zeros((2, 2))
-    inside = np.ones(len(target), bool)
-    inside[(np.cumsum(lengths) - lengths)[lengths > 0]] = False
-    pairs = target[:-1][inside[1:]] * 2 + target[1:][inside[1:]] if len(target) > 1 else np.zeros(0)
-    gold += np.bincount(pairs.astype(int), minlength=4).reshape(2, 2)
+    for chain, _, _, target in blocks:
+        inside = np.ones(len(target), bool)
+        inside[(np.cumsum(chain.lengths) - chain.lengths)[chain.lengths > 0]] = False
+        pairs = target[:-1][inside[1:]] * 2 + target[1:][inside[1:]]
+        gold += np.bincount(pairs.astype(int), minlength=4).reshape(2, 2)
+    # The model's own expectations are matched to the labels' by AdaGrad, with a pull to zero.
     w, trans, bias, first = np.zeros(len(names)), np.array([[0.0, -2.0], [0.0, -1.0]]), -2.0, -2.0
     gw, gt, gb = np.full(len(names), 1e-8), np.full((2, 2), 1e-8), 1e-8
+
+    def emissions(feature, token, n: int) -> np.ndarray:
+        return bias + np.bincount(token, w[feature], minlength=n)
+
     for _ in range(STEPS):
-        e = bias + np.bincount(token, w[feature], minlength=len(flat))
-        p, seen = chain.marginals(e, trans, first)
-        miss = target - p
-        d = np.bincount(feature, miss[token], minlength=len(names)) - 0.05 * w
-        dt, db = gold - seen, miss.sum()
+        d, dt, db = -0.05 * w, gold.copy(), 0.0
+        for chain, feature, token, target in blocks:
+            p, seen = chain.marginals(emissions(feature, token, len(target)), trans, first)
+            miss = target - p
+            d += np.bincount(feature, miss[token], minlength=len(names))
+            dt -= seen
+            db += miss.sum()
         gw, gt, gb = gw + d * d, gt + dt * dt, gb + db * db
         w += 0.7 * d / np.sqrt(gw)
         step = 0.2 * dt / np.sqrt(gt)
         step[0, 0] = 0.0  # one of the weights is free
         trans = trans + step
         bias += 0.3 * db / math.sqrt(gb)
-    p, _ = chain.marginals(bias + np.bincount(token, w[feature], minlength=len(flat)), trans, first)
-    X = evidence(p, lengths)
+    X = np.concatenate([evidence(c.marginals(emissions(f, t, len(g)), trans, first)[0], c.lengths) for c, f, t, g in blocks])
     scale = np.ones(len(y)) if weights is None else np.asarray(weights)
     keep = np.repeat(np.arange(len(y)), np.maximum(1, np.round(scale)).astype(int))
     used = {f: float(w[i]) for f, i in at.items() if abs(w[i]) > 1e-3}
@@ -214,24 +235,18 @@ def fit(texts: list[str], labels: list[int], weights: list[float] | None = None)
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self.known: dict[str, float] = {}
+        self.known = Rows(lambda chunks: np.array([[model.emission(c.decode("utf-8", "replace"))] for c in chunks]), 1, KEPT)
 
     def __call__(self, texts) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
-        docs = [(t or "").split() for t in texts]
-        if len(self.known) > KEPT:
-            self.known = {}
-        known = self.known
-        for c in set().union(*docs) - known.keys():
-            known[c] = self.model.emission(c)
-        lengths = np.array([len(d) for d in docs], np.int64)
-        e = np.fromiter((known[c] for d in docs for c in d), float, int(lengths.sum()))
-        p, _ = Chain(lengths).marginals(e, self.model.trans, self.model.first)
+        """The score and the offending spans of each text (UTF-8)."""
+        e, lengths = self.known([(t or b"").lower().split() for t in texts])
+        p, _ = Chain(lengths).marginals(e[:, 0], self.model.trans, self.model.first)
         z = evidence(p, lengths) @ self.model.calibration
-        spans: list[list[tuple[int, int]]] = []
         ends = np.cumsum(lengths)
+        spans: list[list[tuple[int, int]]] = []
         for text, n, end in zip(texts, lengths, ends):
             own = p[end - n : end] > 0.5
-            spans.append(offending(text, own) if own.any() else [])
+            spans.append(offending(text.decode("utf-8", "replace"), own) if own.any() else [])
         return 1 / (1 + np.exp(-np.clip(z, -30, 30))), spans
 
 
@@ -239,7 +254,7 @@ def offending(text: str, flags: np.ndarray) -> list[tuple[int, int]]:
     """Spans (code points, end exclusive) of runs of flagged tokens."""
     out: list[tuple[int, int]] = []
     last = False
-    for m, on in zip(re.finditer(r"\S+", text), flags):
+    for m, on in zip(re.finditer(WORD, text), flags):
         if on and last:
             out[-1] = (out[-1][0], m.end())
         elif on:
@@ -264,7 +279,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     classes = {r.toxic: r["count"] for r in pairs.groupBy("toxic").count().collect()}
     texts, ys, scale = [], [], []
     for toxic in (0, 1):
-        own = pairs.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(SAMPLE).collect()
+        own = bounded_sample(pairs.filter(F.col("toxic") == toxic).select("doc_id", "text"), SAMPLE).collect()
         texts += [r.text for r in own]
         ys += [toxic] * len(own)
         scale += [classes.get(toxic, 0) / max(1, len(own))] * len(own)
@@ -283,7 +298,7 @@ def with_scores(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pd.DataFrame({"score": values, "spans": [[{"start": a, "end": b} for a, b in own] for own in spans]})
 
     bounded_arrow(docs.sparkSession)
-    return docs.withColumn("toxicity", score("text"))
+    return docs.withColumn("toxicity", score(F.col("text").cast("binary")))
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
