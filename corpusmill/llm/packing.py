@@ -17,7 +17,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -25,11 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import bounded_arrow, materialize
+from corpusmill.llm.memo import Memo, ranges
 
 CAPACITY = 2048
 SEPARATOR = 0
 #: Chunks whose ids a worker keeps, in each of two generations.
-KEPT = 500_000
+KEPT = 600_000
 #: Pieces of one length that are ranked in one task, on average; more get further salts.
 RANKED = 500_000
 MAX_SALTS = 4096
@@ -45,12 +45,14 @@ PLAIN_CHUNKS = re.compile(f"[ -&(-~{LETTERS}\u00a1\u00ab\u00bb\u00bf]*")
 #: others or a digit, and ends in one end-of-word token.
 CLASSES = np.array([0 if c == 32 else 1 if re.match(f"[{LETTERS}]", chr(c)) else 2 if 48 <= c < 58 else 3 for c in range(0x250)], np.int8)
 END_OF_WORD = "</w>"
+#: Signs of one pre-token when they follow letters.
+SIGNS = b".,!?;:#$%&*"
 
 
-class Encoder:
-    """Ids of texts by chunks between blanks, which encode on their own: no pattern of the pre-tokenizer and
-    no composition of the normalizer reaches over a blank. The ids of known chunks lie in one array; new
-    chunks of plain characters are encoded together and divided at their end-of-word tokens."""
+class Encoder(Memo):
+    """Ids of texts (UTF-8) by chunks between blanks, which encode on their own: no pattern of the
+    pre-tokenizer and no composition of the normalizer reaches over a blank. The ids of known chunks lie in
+    one array; new chunks of plain characters are encoded together and divided at end-of-word tokens."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -59,19 +61,36 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(END_OF_WORD)]] = True
-        self.old: tuple = ()
-        self.clear()
+        super().__init__(KEPT)
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
         self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def rows(self):
+        return self.ids, self.starts, self.sizes
+
     @staticmethod
-    def chunks(text: str | None) -> list[bytes]:
-        raw = (text or "").encode("utf-8", "surrogatepass")
+    def chunks(raw: bytes | None) -> list[bytes]:
+        raw = raw or b""
         # letters are lower-cased by the normalizer anyway; not where they might then spell a special string
         return (raw if b"<|" in raw else raw.lower()).split()
 
+    def learn(self, chunks: list[bytes]) -> None:
+        """A chunk of letters and trailing signs is its letters' ids and its signs' ids."""
+        cores = [c.rstrip(SIGNS) for c in chunks]
+        parted = [c for c, core in zip(chunks, cores) if core != c and core.isalpha()]
+        whole = [c for c, core in zip(chunks, cores) if core == c or not core.isalpha()]
+        known = self.known.keys()
+        letters = {core for c, core in zip(chunks, cores) if core != c and core.isalpha()}
+        signs = {c[len(c.rstrip(SIGNS)) :] for c in parted}
+        self.add(list((letters | signs).union(whole) - known))
+        if parted:
+            first = np.array([self.known[c.rstrip(SIGNS)] for c in parted])
+            last = np.array([self.known[c[len(c.rstrip(SIGNS)) :]] for c in parted])
+            both = np.stack([first, last], 1).ravel()
+            sizes = self.sizes[both]
+            self.keep(parted, self.ids[ranges(self.starts[both], sizes)], sizes.reshape(-1, 2).sum(1))
+
     def add(self, chunks: list[bytes]) -> None:
         alone: list[bytes] = []
         for at in range(0, len(chunks), 2000):
@@ -98,42 +117,23 @@ class Encoder:
             self.keep(part, np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64))
 
     def keep(self, chunks: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.known.update(zip(chunks, range(len(self.sizes), len(self.sizes) + len(chunks))))
+        self.register(chunks)
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
 
+    def carry(self, chunks: list[bytes], places: np.ndarray, rows) -> None:
+        ids, starts, sizes = rows
+        self.keep(chunks, ids[ranges(starts[places], sizes[places])], sizes[places])
+
     def __call__(self, texts) -> Iterator[np.ndarray]:
         split = [self.chunks(t) for t in texts]
-        counts = np.array([len(c) for c in split], np.int64)
-        if len(self.known) > KEPT:  # the last generation is asked before the tokenizer is
-            self.old = (self.known, self.ids, self.starts, self.sizes)
-            self.clear()
-        every = [c for chunks in split for c in chunks]
-        at = np.fromiter(map(self.known.get, every, repeat(-1)), np.int64, len(every))
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            new = list({every[i] for i in missing})
-            if self.old:
-                known, ids, starts, sizes = self.old
-                place = np.array([known.get(c, -1) for c in new], np.int64)
-                again = place[place >= 0]
-                self.keep([c for c, p in zip(new, place) if p >= 0], ids[_ranges(starts[again], sizes[again])], sizes[again])
-                new = [c for c, p in zip(new, place) if p < 0]
-            if new:
-                self.add(new)
-            at[missing] = [self.known[every[i]] for i in missing]
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        at = self.index([c for chunks in split for c in chunks])
         sizes = self.sizes[at]
-        ids = self.ids[_ranges(self.starts[at], sizes)]
-        ends = np.cumsum(sizes)[np.cumsum(counts) - 1] if len(every) else np.zeros(len(split), np.int64)
-        ends = np.maximum.accumulate(np.where(counts > 0, ends, 0)) if len(split) else ends
-        for start, end in zip(np.concatenate([[0], ends[:-1]]), ends):
-            yield ids[start:end]
-
-
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The positions starts[i] .. starts[i] + sizes[i] - 1, one range after another."""
-    before = np.cumsum(sizes) - sizes
-    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+        ids = self.ids[ranges(self.starts[at], sizes)]
+        stops = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+        for start, stop in zip(stops[:-1], stops[1:]):
+            yield ids[start:stop]
 
 
 @lru_cache(maxsize=2)
@@ -164,7 +164,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator:
             yield pd.Series([cut(ids, capacity, separator) for ids in encoder(texts)], dtype=object)
 
     bounded_arrow(docs.sparkSession)
-    return docs.select("doc_id", F.explode(divide("text")).alias("p")).select("doc_id", "p.*")
+    return docs.select("doc_id", F.explode(divide(F.col("text").cast("binary"))).alias("p")).select("doc_id", "p.*")
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
