@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import bounded_arrow, materialize
-from corpusmill.llm.memo import Memo, ranges
+from corpusmill.llm.wordhash import Growing, Words, ranges
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -45,14 +45,13 @@ PLAIN_CHUNKS = re.compile(f"[ -&(-~{LETTERS}\u00a1\u00ab\u00bb\u00bf]*")
 #: others or a digit, and ends in one end-of-word token.
 CLASSES = np.array([0 if c == 32 else 1 if re.match(f"[{LETTERS}]", chr(c)) else 2 if 48 <= c < 58 else 3 for c in range(0x250)], np.int8)
 END_OF_WORD = "</w>"
-#: Signs of one pre-token when they follow letters.
-SIGNS = b".,!?;:#$%&*"
 
 
-class Encoder(Memo):
+class Encoder(Words):
     """Ids of texts (UTF-8) by chunks between blanks, which encode on their own: no pattern of the
     pre-tokenizer and no composition of the normalizer reaches over a blank. The ids of known chunks lie in
-    one array; new chunks of plain characters are encoded together and divided at end-of-word tokens."""
+    one array, found by the chunks' hashes; new chunks of plain characters are encoded together and divided
+    at end-of-word tokens. Memory is bounded by two generations of chunks."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -64,76 +63,54 @@ class Encoder(Memo):
         super().__init__(KEPT)
 
     def clear(self) -> None:
-        self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def rows(self):
-        return self.ids, self.starts, self.sizes
+        self.ids, self.starts, self.sizes = Growing(np.uint32), Growing(np.int64), Growing(np.int64)
 
     @staticmethod
-    def chunks(raw: bytes | None) -> list[bytes]:
+    def lowered(raw: bytes | None) -> bytes:
+        """Letters are lower-cased by the normalizer anyway; not where they might then spell a special string."""
         raw = raw or b""
-        # letters are lower-cased by the normalizer anyway; not where they might then spell a special string
-        return (raw if b"<|" in raw else raw.lower()).split()
-
-    def learn(self, chunks: list[bytes]) -> None:
-        """A chunk of letters and trailing signs is its letters' ids and its signs' ids."""
-        cores = [c.rstrip(SIGNS) for c in chunks]
-        parted = [c for c, core in zip(chunks, cores) if core != c and core.isalpha()]
-        whole = [c for c, core in zip(chunks, cores) if core == c or not core.isalpha()]
-        known = self.known.keys()
-        letters = {core for c, core in zip(chunks, cores) if core != c and core.isalpha()}
-        signs = {c[len(c.rstrip(SIGNS)) :] for c in parted}
-        self.add(list((letters | signs).union(whole) - known))
-        if parted:
-            first = np.array([self.known[c.rstrip(SIGNS)] for c in parted])
-            last = np.array([self.known[c[len(c.rstrip(SIGNS)) :]] for c in parted])
-            both = np.stack([first, last], 1).ravel()
-            sizes = self.sizes[both]
-            self.keep(parted, self.ids[ranges(self.starts[both], sizes)], sizes.reshape(-1, 2).sum(1))
-
-    def add(self, chunks: list[bytes]) -> None:
-        alone: list[bytes] = []
-        for at in range(0, len(chunks), 2000):
-            part = chunks[at : at + 2000]
-            text = b" ".join(part).decode("utf-8", "surrogatepass")
-            if "<|" in text or not PLAIN_CHUNKS.fullmatch(text):
-                plain = [c for c in part if b"<|" not in c and PLAIN.fullmatch(c.decode("utf-8", "surrogatepass"))]
-                alone += set(part).difference(plain)
-                part, text = plain, b" ".join(plain).decode()
-            if not part:
-                continue
-            kinds = CLASSES[np.frombuffer(text.encode("utf-32-le"), "<u4")]
+        return raw if b"<|" in raw else raw.lower()
+
+    def encoded(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks, one after another, and how many each has."""
+        if b"<|" not in (text := b" ".join(chunks)) and PLAIN_CHUNKS.fullmatch(plain := text.decode("utf-8", "surrogatepass")):
+            kinds = CLASSES[np.frombuffer(plain.encode("utf-32-le"), "<u4")]
             begins = (kinds > 0) & ((kinds == 2) | (kinds != np.concatenate([[0], kinds[:-1]])))
             words = np.cumsum(begins)[np.append(np.flatnonzero(kinds == 0), len(kinds) - 1)]
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast([plain], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == words[-1]:
-                self.keep(part, ids, np.diff(ends[words - 1], prepend=0))
-            else:
-                alone += part
-        for at in range(0, len(alone), 5000):
-            part = alone[at : at + 5000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "surrogatepass") for c in part], add_special_tokens=False)]
-            self.keep(part, np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64))
-
-    def keep(self, chunks: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.register(chunks)
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
-
-    def carry(self, chunks: list[bytes], places: np.ndarray, rows) -> None:
+                return ids, np.diff(ends[words - 1], prepend=0)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "surrogatepass") for c in chunks], add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
+
+    def learn(self, keys: np.ndarray, chunks: list[bytes]) -> None:
+        special = np.array([b"<|" in c or not PLAIN.fullmatch(c.decode("utf-8", "surrogatepass")) for c in chunks], bool)
+        for own in (np.flatnonzero(~special), np.flatnonzero(special)):
+            for at in range(0, len(own), 2000):
+                part = own[at : at + 2000]
+                self.keep(keys[part], *self.encoded([chunks[i] for i in part.tolist()]))
+
+    def keep(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.register(keys, self.starts.n)
+        self.starts.extend(self.ids.n + np.cumsum(sizes) - sizes)
+        self.ids.extend(ids)
+        self.sizes.extend(sizes)
+
+    def rows(self) -> tuple[np.ndarray, ...]:
+        return self.ids.all, self.starts.all, self.sizes.all
+
+    def carry(self, keys: np.ndarray, places: np.ndarray, *rows: np.ndarray) -> None:
         ids, starts, sizes = rows
-        self.keep(chunks, ids[ranges(starts[places], sizes[places])], sizes[places])
+        self.keep(keys, ids[ranges(starts[places], sizes[places])], sizes[places])
 
     def __call__(self, texts) -> Iterator[np.ndarray]:
-        split = [self.chunks(t) for t in texts]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        at = self.index([c for chunks in split for c in chunks])
-        sizes = self.sizes[at]
-        ids = self.ids[ranges(self.starts[at], sizes)]
-        stops = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
-        for start, stop in zip(stops[:-1], stops[1:]):
-            yield ids[start:stop]
+        for at, firsts in self.parts([self.lowered(t) for t in texts]):
+            sizes = self.sizes.all[at]
+            ids = self.ids.all[ranges(self.starts.all[at], sizes)]
+            stops = np.concatenate([[0], np.cumsum(sizes)])[firsts]
+            for start, stop in zip(stops[:-1], stops[1:]):
+                yield ids[start:stop]
 
 
 @lru_cache(maxsize=2)

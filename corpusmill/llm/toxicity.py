@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import WORD, bounded_arrow, bounded_sample, packed, unpacked
-from corpusmill.llm.memo import Rows, ranges
+from corpusmill.llm.wordhash import Rows, ranges
 
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
@@ -239,7 +239,7 @@ class Scorer:
 
     def __call__(self, texts) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
         """The score and the offending spans of each text (UTF-8)."""
-        e, lengths = self.known([(t or b"").lower().split() for t in texts])
+        e, lengths = self.known([(t or b"").lower() for t in texts])
         p, _ = Chain(lengths).marginals(e[:, 0], self.model.trans, self.model.first)
         z = evidence(p, lengths) @ self.model.calibration
         ends = np.cumsum(lengths)
