@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import WORD, bounded_arrow, bounded_sample, packed, unpacked
+from corpusmill.llm.simhash import fingerprint
 from corpusmill.llm.wordhash import Rows, ranges
 
 THRESHOLD = 0.3
@@ -43,6 +44,8 @@ MIN_DOCS = 4
 #: documents, and its shares among them differ by so many standard deviations.
 ODDS, DEVIATES = 2.0, 4.5
 STEMS = (4, 5, 6, 7)
+#: Differing bits of two fingerprints of near copies in the sample, at most.
+COPY_BITS = 10
 LANE = 256
 KEPT = 400_000
 STEPS = 40
@@ -161,8 +164,21 @@ def logistic(X: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
     return w
 
 
+def distinct(texts: list[str]) -> list[int]:
+    """The places of texts that aren't near copies of an earlier one: copies would pass for evidence."""
+    prints = np.array([fingerprint(t) for t in texts], np.int64).view(np.uint64)
+    kept: list[int] = []
+    for i in range(len(texts)):
+        if not kept or np.bitwise_count(prints[kept] ^ prints[i]).min() > COPY_BITS:
+            kept.append(i)
+    return kept
+
+
 def fit(texts: list[str], labels: list[int], weights: list[float] | None = None) -> Model | None:
     """A model from labelled texts; None where either class is missing."""
+    kept = distinct(texts)
+    texts, labels = [texts[i] for i in kept], [labels[i] for i in kept]
+    weights = weights and [weights[i] for i in kept]
     y = np.asarray(labels)
     if len(set(labels)) < 2:
         return None
