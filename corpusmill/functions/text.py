@@ -35,8 +35,9 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 
 def normalize(text: Column) -> Column:
-    """NFKC, then white space collapsed. Python runs only for batches with text outside ASCII."""
-    return collapse(F.when(text.rlike("[^\\x00-\\x7f]"), _nfkc(text)).otherwise(text))
+    """NFKC, then white space collapsed. A conditional doesn't keep rows from a Python function, so texts in
+    ASCII, which NFKC leaves as they are, go there as nulls."""
+    return collapse(F.coalesce(_nfkc(F.when(text.rlike("[^\\x00-\\x7f]"), text)), text))
 
 
 def blank(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import ident, schedule, text
-from corpusmill.operators import chats, contamination, evaluation, gates, ordering, records, sampling, splits, windows
+from corpusmill.operators import chats, contamination, evaluation, gates, ordering, records, sampling, splits, transforms, windows
 from corpusmill.streaming import metrics
 
 WS = text.WS
@@ -259,6 +259,191 @@ def task_family_rollup(spark, sf_dir):
     return sums.select("split", every("lang", "gl"), every("family", "gf"), "examples", "tokens")
 
 
+# --- source transforms ----------------------------------------------------------------------------------
+
+REVISION = "0" * 40
+RECIPE = "local"
+PAIRS = """select a.conv_id * 1000 + a.turn as line, a.conv_id, a.turn, {prompt} as prompt, {answer} as answer
+from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1 where a.role = 'user' and b.role = 'assistant'"""
+PAIRS = PAIRS.format(prompt=strip("a.text"), answer=strip("b.text"))
+
+
+def _source(transform: str) -> transforms.Source:
+    return transforms.Source(transform.split("-")[0], transform, "local/tables", REVISION, "table.parquet")
+
+
+def _joined(*parts: str) -> str:
+    return "sha256(" + " || chr(0) || ".join(parts) + ")"
+
+
+def _id_sql(view: str, identity: str, language: str) -> str:
+    return _joined("'local/tables'", f"'{REVISION}'", view, identity, language)
+
+
+def _json_digest(**fields: str) -> str:
+    return "sha256('{' || " + " || ',' || ".join(f"'\"{k}\":' || to_json({fields[k]})" for k in sorted(fields)) + " || '}')"
+
+
+def _pairs(spark, sf_dir):
+    """A question and the answer after it. The turns of a conversation are neighbours by key."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    answers = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    asked = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt"))
+    return asked.join(answers, ["conv_id", "turn"]).withColumn("line", F.col("conv_id") * 1000 + F.col("turn"))
+
+
+def _said(df: DataFrame) -> DataFrame:
+    return df.select("id", "source_id", "language", F.sha2(F.array_join(F.transform("messages", lambda m: F.concat(m.role, F.lit(":"), m.content)), "|"), 256).alias("dialogue"))
+
+
+def _preferred(df: DataFrame) -> DataFrame:
+    return df.select("id", "source_id", "language", F.sha2(F.concat_ws("|", "prompt", "chosen", "rejected"), 256).alias("pair"))
+
+
+DOLLY = _json_digest(prompt=collapse("p"), response=collapse("r"))
+
+
+@query(f"""with p as (select line, case turn % 3 when 0 then 'closed_qa' when 1 then 'classification' else 'summarization' end as task, case turn % 3 when 0 then 'short_qa' when 1 then 'classification' else 'general' end as family,
+prompt || case when conv_id % 2 = 0 then chr(10) || chr(10) || 'Context:' || chr(10) || 'conversation ' || conv_id else '' end as q, answer as r from ({PAIRS}) where prompt <> '' and answer <> ''),
+f as (select line, family, q || case when family = 'general' then '' else chr(10) || chr(10) || 'Reply with the answer only.' end as p, r from p where length(r) <= case family when 'classification' then 150 when 'short_qa' then 200 else 4000 end),
+i as (select *, {DOLLY} as identity from f where length(p) + length(r) <= 4000 qualify row_number() over (partition by identity order by line) = 1),
+k as (select *, {_id_sql("'sft'", "identity", "'en'")} as id, {_joined("'local'", "'dolly'", "family", "identity")} as key from i qualify row_number() over (partition by family order by key, id) <= case family when 'general' then 5 when 'classification' then 3 else 4 end)
+select id, 'dolly:' || identity as source_id, 'en' as language, sha256('user:' || p || '|assistant:' || r) as dialogue from k""")
+def transform_instructions(spark, sf_dir):
+    config = {"general_records": 5, "classification_records": 3, "short_qa_records": 4, "classification_max_answer_characters": 150, "short_qa_max_answer_characters": 200, "max_characters": 4000}
+    task = F.when(F.col("turn") % 3 == 0, "closed_qa").when(F.col("turn") % 3 == 1, "classification").otherwise("summarization")
+    context = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("conversation "), "conv_id"))
+    rows = _pairs(spark, sf_dir).select("line", F.col("prompt").alias("instruction"), context.alias("context"), F.col("answer").alias("response"), task.alias("category"))
+    return _said(transforms.instructions(rows, _source("dolly-balanced-sft-v1"), RECIPE, config).records)
+
+
+@query(f"""with i as (select line, prompt as p, answer as r, {_json_digest(prompt=collapse('prompt'), response=collapse('answer'))} as identity from ({PAIRS}) where prompt <> '' and answer <> '' and length(prompt) + length(answer) <= 2000 qualify row_number() over (partition by identity order by line) = 1),
+k as (select *, {_id_sql("'sft'", "identity", "'zh'")} as id from i order by {_joined("'local'", "'hc3'", "identity")}, id limit 10)
+select id, 'hc3:' || identity as source_id, 'zh' as language, sha256('user:' || p || '|assistant:' || r) as dialogue from k""")
+def transform_first_answers(spark, sf_dir):
+    rows = _pairs(spark, sf_dir).select("line", F.col("prompt").alias("question"), F.array("answer", "prompt").alias("human_answers"), F.lit(None).cast("string").alias("source"))
+    return _said(transforms.first_answers(rows, _source("hc3-human-single-turn-sft-v1"), RECIPE, {"records": 10, "max_characters": 2000}).records)
+
+
+PAIR = _json_digest(prompt=collapse("p"), chosen=collapse("c"), rejected=collapse("r"))
+
+
+@query(f"""with b as (select line, case when conv_id % 2 = 0 then 'en' else 'zh' end as language, prompt as p, answer as a, {strip('reverse(answer)')} as z, turn % 4 - 1 as s from ({PAIRS}) where prompt <> '' and answer <> ''),
+c as (select line, language, p, case when s < 0 then a else z end as c, case when s < 0 then z else a end as r from b where s <> 0 and a <> z and length(p) + greatest(length(a), length(z)) <= 3000),
+i as (select *, {PAIR} as identity from c qualify row_number() over (partition by identity order by line) = 1),
+k as (select *, {_id_sql("'dpo'", "identity", "language")} as id, {_joined("'local'", "'helpsteer3'", "language", "identity")} as key from i qualify row_number() over (partition by language order by key, id) <= case language when 'en' then 6 else 4 end)
+select id, 'helpsteer3:' || identity as source_id, language, sha256(p || '|' || c || '|' || r) as pair from k""")
+def transform_signed_preferences(spark, sf_dir):
+    config = {"records_by_language": {"en": 6, "zh": 4}, "max_characters": 3000, "context_messages": 1}
+    context = F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")))
+    rows = _pairs(spark, sf_dir).select(
+        "line",
+        F.when(F.col("conv_id") % 2 == 0, "English").otherwise("CHINESE").alias("language"),
+        F.lit(None).cast("string").alias("domain"),
+        context.alias("context"),
+        F.col("answer").alias("response1"),
+        F.reverse("answer").alias("response2"),
+        (F.col("turn") % 4 - 1).alias("overall_preference"),
+    )
+    return _preferred(transforms.signed_preferences(rows, _source("helpsteer3-single-turn-preference-v1"), RECIPE, config).records)
+
+
+def _both_ways(name: str, language: str) -> str:
+    return f"""with c as (select line, prompt as p, answer as c, {strip('reverse(answer)')} as r from ({PAIRS}) where prompt <> '' and answer <> ''),
+i as (select *, {PAIR} as identity from c where c <> r and length(p) + greatest(length(c), length(r)) <= 3000 qualify row_number() over (partition by identity order by line) = 1),
+k as (select *, {_id_sql("'dpo'", "identity", f"'{language}'")} as id from i order by {_joined("'local'", f"'{name}'", "identity")}, id limit 8)
+select id, '{name}:' || identity as source_id, '{language}' as language, sha256(p || '|' || c || '|' || r) as pair from k"""
+
+
+@query(_both_ways("hh", "en"))
+def transform_transcript_preferences(spark, sf_dir):
+    said = lambda answer: F.concat(F.lit("Start\n\nHuman: hello\n\nAssistant: yes\n\nHuman: "), "prompt", F.lit("\n\nAssistant: "), answer)
+    rows = _pairs(spark, sf_dir).select("line", said(F.col("answer")).alias("chosen"), said(F.reverse("answer")).alias("rejected"))
+    return _preferred(transforms.transcript_preferences(rows, _source("hh-helpful-single-turn-preference-v1"), RECIPE, {"records": 8, "max_characters": 3000}).records)
+
+
+@query(_both_ways("cvalues", "zh"))
+def transform_paired_preferences(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    rows = _pairs(spark, sf_dir).select("line", "prompt", F.col("answer").alias("pos_resp"), F.reverse("answer").alias("neg_resp"), none.alias("pos_type"), none.alias("neg_type"))
+    return _preferred(transforms.paired_preferences(rows, _source("cvalues-helpful-single-turn-preference-v1"), RECIPE, {"records": 8, "max_characters": 3000}).records)
+
+
+@query(f"""with t as (select conv_id, turn, role, {strip('text')} as body, row_number() over (partition by conv_id order by turn) as i from conversations),
+w as (select *, bool_and(body <> '' and role = case when i % 2 = 1 then 'user' else 'assistant' end) over h as sound, sum(length(body)) over h as chars,
+string_agg(role || ':' || body, '|') over h as said, conv_id || '-' || turn as m, case when conv_id % 3 = 0 then 'zh' else 'en' end as language from t window h as (partition by conv_id order by turn)),
+k as (select *, {_id_sql("'sft'", "m", "language")} as id, {_joined("'local'", "'oasst'", "language", "m")} as key from w where sound and role = 'assistant' and i <= 6 and chars <= 6000 qualify row_number() over (partition by language order by key, id) <= 7)
+select id, 'oasst:' || conv_id as source_id, language, sha256(said) as dialogue from k""")
+def transform_message_trees(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    each = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("t")).select("conv_id", F.posexplode("t").alias("i", "turn"), "t")
+    earlier = each.select("conv_id", "turn", F.when(F.col("i") > 0, F.concat_ws("-", "conv_id", F.get("t", F.col("i") - 1))).alias("parent_id"))
+    rows = turns.join(earlier, ["conv_id", "turn"]).select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("line"),
+        F.concat_ws("-", "conv_id", "turn").alias("message_id"),
+        "parent_id",
+        F.col("conv_id").cast("string").alias("message_tree_id"),
+        "text",
+        F.when(F.col("role") == "user", "prompter").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("conv_id") % 3 == 0, "zh").otherwise("en").alias("lang"),
+        F.lit(True).alias("review_result"),
+        F.lit(False).alias("deleted"),
+        F.lit(False).alias("synthetic"),
+        F.lit(0).alias("rank"),
+        F.lit("ready_for_export").alias("tree_state"),
+    )
+    config = {"records_per_language": 7, "max_messages": 6, "max_characters": 6000}
+    return _said(transforms.message_trees(rows, _source("oasst-ranked-conversation-v1"), RECIPE, config).records)
+
+
+LEAD, TURN = (x.replace("\n", "' || chr(10) || '") for x in transforms.ASK["en"])
+COUNT, LABEL = (transforms.AS_JSON["en"][x].replace("\n", "' || chr(10) || '") for x in ("count", "label"))
+
+
+@query(f"""with d as (select doc_id as line, {strip("text || ' This text has ' || n_chars || ' characters.'")} as t, case when doc_id % 2 = 0 then n_chars::varchar else {strip(f"substr({strip('text')}, 11, 12)")} end as a from documents),
+q as (select *, 'What about ' || line || '?' as q, instr(t, a) - 1 as pos, length(t) as size, length(a) as n from d where a <> ''),
+e as (select *, least(size, greatest(0, pos - greatest(0, (300 - n) // 2)) + 300) as r from q where pos >= 0),
+p as (select line, q, a, '{LEAD}' || case when size <= 300 then t else substr(t, (greatest(0, r - 300) + 1)::bigint, (r - greatest(0, r - 300))::bigint) end || '{TURN}' || q as p from e),
+i as (select *, {_json_digest(upstream_id="line::varchar", question=collapse('q'), answer=collapse('a'))} as identity, regexp_full_match(a, '[0-9]+') as whole from p),
+v as (select *, 'short-qa' as view, p as p2, a as r2 from i union all by name
+select *, case when whole then 'json-integer' else 'json-string' end as view, case when whole then '{COUNT}' else '{LABEL}' end || p as p2, case when whole then '{{"count":' || try_cast(a as bigint) || '}}' else '{{"label":' || to_json(a) || '}}' end as r2 from i),
+k as (select *, {_id_sql("view", "identity", "'en'")} as id, {_joined("'local'", "'squad'", "view", "identity")} as key from v qualify row_number() over (partition by view order by key, id) <= case view when 'short-qa' then 30 when 'json-integer' then 20 else 10 end)
+select id, 'squad:' || identity as source_id, 'en' as language, sha256('user:' || p2 || '|assistant:' || r2) as dialogue from k""")
+def transform_extractive_answers(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    answer = F.when(F.col("doc_id") % 2 == 0, F.col("n_chars").cast("string")).otherwise(F.substring(text.strip(F.col("text")), 11, 12))
+    rows = docs.select(
+        F.col("doc_id").alias("line"),
+        F.col("doc_id").alias("id"),
+        F.concat(F.lit("What about "), "doc_id", F.lit("?")).alias("question"),
+        F.concat("text", F.lit(" This text has "), "n_chars", F.lit(" characters.")).alias("context"),
+        F.struct(F.array(answer).alias("text"), F.array(F.lit(-1)).alias("answer_start")).alias("answers"),
+    )
+    config = {"records": 30, "json_integer_records": 20, "json_string_records": 10, "max_context_characters": 300, "max_answer_characters": 100, "max_characters": 4000}
+    return _said(transforms.extractive(rows, _source("squad-extractive-sft-v1"), RECIPE, config).records)
+
+
+PART = _json_digest(query="q", m_query="m", equation="e", answer="a")
+
+
+@query(f"""with p as (select {collapse('p_name')} as q, p_brand || ' ' || p_partkey as m, p_partkey || '+0' as e, p_size::varchar as a from part),
+i as (select *, {PART} as identity from p), r as (select *, case when row_number() over (order by {_joined("'local'", "'msvamp'", "identity")}, identity) <= 50 then 'sft-warmup' else 'grpo' end as view from i),
+l as (select *, 'en' as language, q as prompt from r union all by name select *, 'zh' as language, m as prompt from r)
+select {_id_sql("view", "identity", "language")} as id, view as kind, language, prompt, a as answer from l""")
+def transform_parallel_numbers(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("line"),
+        F.col("p_name").alias("query"),
+        F.concat_ws(" ", "p_brand", "p_partkey").alias("m_query"),
+        F.concat("p_partkey", F.lit("+0")).alias("equation"),
+        F.col("p_size").cast("double").alias("response"),
+    )
+    found = transforms.parallel_numbers(rows, _source("msvamp-parallel-integer-v1"), RECIPE, {"sft_warmup_groups": 50})
+    content = lambda i: F.get("messages", F.lit(i)).content
+    sft = found.sft.select("id", F.lit("sft-warmup").alias("kind"), "language", content(0).alias("prompt"), content(1).alias("answer"))
+    return sft.unionByName(found.grpo.select("id", F.lit("grpo").alias("kind"), "language", "prompt", "answer"))
+
+
 @query("select string_agg(distinct source, ' AND ' order by source) as licence, (select string_agg(lang, ',' order by f) from (select lang, min(doc_id) as f from documents group by lang)) as languages from documents")
 def licence_expression(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
