@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import clean, collapse
+from corpusmill.functions.text import bound, clean, collapse
 from corpusmill.operators.ordering import first_wins
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -58,13 +58,18 @@ def chains(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 def last_turn(transcript: Column, human: str = "\n\nHuman:", assistant: str = "\n\nAssistant:") -> Column:
     """(prompt, response) of the last turn of a transcript, or null."""
-    text = clean(transcript)
-    tail = F.substring_index(text, human, -1)
-    at = F.locate(assistant, tail)
-    prompt = clean(F.substring(tail, F.lit(1), at - 1))
-    response = clean(F.substring(tail, at + len(assistant), F.length(tail)))
-    whole = text.contains(human) & (at > 0) & prompt.isNotNull() & response.isNotNull() & ~response.contains(assistant)
-    return F.when(whole, F.struct(prompt.alias("prompt"), response.alias("response")))
+
+    def turn(tail: Column) -> Column:
+        at = F.locate(assistant, tail)
+        prompt, response = F.substring(tail, F.lit(1), at - 1), F.substring(tail, at + len(assistant), F.length(tail))
+        return F.when(at > 0, F.struct(clean(prompt).alias("prompt"), clean(response).alias("response")))
+
+    def whole(t: Column) -> Column:
+        return F.when(t.prompt.isNotNull() & t.response.isNotNull() & ~t.response.contains(assistant), t)
+
+    # Bound step by step, so that no step's expression is written out for each of its uses.
+    tail = bound(clean(transcript), lambda t: F.when(t.contains(human), F.substring_index(t, human, -1)))
+    return bound(bound(tail, turn), whole)
 
 
 def task_family(task: Column, transform: Column | None = None) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.ident import keyed_digest, record_digest
-from corpusmill.functions.text import clean, excerpt, has_control, normalize
+from corpusmill.functions.text import bound, clean, excerpt, has_control, normalize
 from corpusmill.operators.chats import last_turn
 from corpusmill.operators.ordering import first_wins
 
@@ -95,13 +95,19 @@ def least(candidates: DataFrame, quotas: Mapping[str, int]) -> DataFrame:
 def integer_answer(value: Column) -> Column:
     """The digits of a whole decimal number in any notation ('12.0' gives '12'), or null. Exponents are read
     up to 28 digits; digits may be ASCII or full-width."""
-    plain = F.translate(F.replace(clean(value), F.lit("_"), F.lit("")), "０１２３４５６７８９", "0123456789")
-    digits = F.regexp_replace(F.regexp_extract(plain, "^[+-]?([0-9]*)", 1), "^0+(?=.)", "")
-    digits = F.when(digits == "", "0").otherwise(digits)
-    signed = F.when(plain.startswith("-") & (digits != "0"), F.concat(F.lit("-"), digits)).otherwise(digits)
-    number = plain.try_cast("decimal(38,10)")
-    scaled = F.when(number == F.floor(number), F.floor(number).cast("string"))
-    return F.when(plain.rlike("^[+-]?([0-9]+\\.?0*|\\.0+)$"), signed).when(plain.rlike("^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)[eE][+-]?[0-9]+$"), scaled)
+
+    def whole(plain: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_extract(plain, "^[+-]?([0-9]*)", 1), "^0+(?=.)", "")
+        return bound(digits, lambda d: F.when(d.isin("", "0"), "0").when(plain.startswith("-"), F.concat(F.lit("-"), d)).otherwise(d))
+
+    def scaled(plain: Column) -> Column:
+        return bound(plain.try_cast("decimal(38,10)"), lambda n: F.when(n == F.floor(n), F.floor(n).cast("string")))
+
+    def read(plain: Column) -> Column:
+        exponent = plain.rlike("^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)[eE][+-]?[0-9]+$")
+        return F.when(plain.rlike("^[+-]?([0-9]+\\.?0*|\\.0+)$"), whole(plain)).when(exponent, scaled(plain))
+
+    return bound(F.translate(F.replace(clean(value), F.lit("_"), F.lit("")), "０１２３４５６７８９", "0123456789"), read)
 
 
 def _held(*texts: Column) -> Column:
@@ -112,6 +118,12 @@ def _true(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
+def _settled(rows: DataFrame, *columns: Column | str) -> DataFrame:
+    """select(), each column computed once a row: filters aren't pushed through a generator, where the optimizer
+    would write the columns' whole expressions out for every use in them."""
+    return rows.select(F.inline(F.array(F.struct(*(columns or rows.columns)))))
+
+
 def _message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
@@ -123,7 +135,7 @@ def _metadata(source: Source, *more: Column) -> Column:
 def _dialogues(rows: DataFrame, source: Source, recipe: str, language: str, most: int, grouped: bool, *more: Column) -> DataFrame:
     """Candidates of one question and answer. rows: (line, group, prompt, response, columns of more)."""
     p, r = F.col("prompt"), F.col("response")
-    fit = rows.filter(_true(~_held(p, r) & (F.length(p) + F.length(r) <= most)))
+    fit = _settled(rows).filter(_true(~_held(p, r) & (F.length(p) + F.length(r) <= most)))
     named = first_wins(fit.withColumn("identity", record_digest({"prompt": normalize(p), "response": normalize(r)})), ["identity"], "line")
     i = F.col("identity")
     return named.select(
@@ -141,7 +153,7 @@ def _dialogues(rows: DataFrame, source: Source, recipe: str, language: str, most
 def _preferences(rows: DataFrame, source: Source, recipe: str, most: int, grouped: bool, *more: Column) -> DataFrame:
     """Candidates of a prompt and two answers. rows: (line, group, language, prompt, chosen, rejected, columns of more)."""
     p, c, r = F.col("prompt"), F.col("chosen"), F.col("rejected")
-    fit = rows.filter(_true((c != r) & ~_held(p, c, r) & (F.length(p) + F.greatest(F.length(c), F.length(r)) <= most)))
+    fit = _settled(rows).filter(_true((c != r) & ~_held(p, c, r) & (F.length(p) + F.greatest(F.length(c), F.length(r)) <= most)))
     digest = record_digest({"prompt": normalize(p), "chosen": normalize(c), "rejected": normalize(r)})
     named = first_wins(fit.withColumn("identity", digest), ["identity"], "line")
     i = F.col("identity")
@@ -193,7 +205,8 @@ def extractive(rows: DataFrame, source: Source, recipe: str, config: Mapping) ->
     each is deduplicated by itself."""
     language = "en" if source.transform == "squad-extractive-sft-v1" else "zh"
     lead, turn = ASK[language]
-    found = rows.select(
+    found = _settled(
+        rows,
         "line",
         clean(F.col("id").cast("string")).alias("upstream_id"),
         clean(F.col("question")).alias("question"),
@@ -205,15 +218,16 @@ def extractive(rows: DataFrame, source: Source, recipe: str, config: Mapping) ->
     found = found.filter(_true(F.col("upstream_id").isNotNull() & (F.length(a) <= config["max_answer_characters"]) & ~_held(q, c, a)))
     stated = _true((F.col("given") >= 0) & (F.substring(c, (F.col("given") + 1).cast("int"), F.length(a)) == a))
     at = F.when(stated, F.col("given")).otherwise(F.position(a, c) - 1)
-    found = found.withColumn("at", at).filter("at >= 0")
+    found = _settled(found, "line", "upstream_id", "question", "context", "answer", at.alias("at")).filter("at >= 0")
     found = found.withColumn("prompt", F.concat(F.lit(lead), excerpt(c, F.col("at"), F.length(a), config["max_context_characters"]), F.lit(turn), q))
-    found = found.filter(F.length("prompt") + F.length(a) <= config["max_characters"]).select("line", "upstream_id", "question", "answer", "prompt")
+    found = _settled(found, "line", "upstream_id", "question", "answer", "prompt").filter(F.length("prompt") + F.length(a) <= config["max_characters"])
     digest = record_digest({"upstream_id": F.col("upstream_id"), "question": normalize(q), "answer": normalize(a)})
     once = first_wins(found.withColumn("identity", digest), ["identity"], "line")
     dialogue = lambda p, r: record_digest({"prompt": normalize(F.col(p)), "response": normalize(F.col(r))})
     short = first_wins(once.withColumn("dialogue", dialogue("prompt", "answer")), ["dialogue"], "line").drop("dialogue", "question")
 
-    whole = integer_answer(a)
+    short = _settled(short, "line", "identity", "upstream_id", "answer", "prompt", integer_answer(a).alias("whole"))
+    whole = F.col("whole")
     wording = AS_JSON[language]
     view_of = lambda view, prompt, response, task: F.struct(view.alias("view"), prompt.alias("prompt"), response.alias("response"), task.alias("task"))
     views = F.array(
@@ -268,7 +282,7 @@ def signed_preferences(rows: DataFrame, source: Source, recipe: str, config: Map
 
 def transcript_preferences(rows: DataFrame, source: Source, recipe: str, config: Mapping) -> Outcome:
     """rows (line, chosen, rejected): two transcripts whose last prompts agree once normalized."""
-    turns = rows.select("line", last_turn(F.col("chosen")).alias("a"), last_turn(F.col("rejected")).alias("b")).filter("a is not null and b is not null")
+    turns = _settled(rows, "line", last_turn(F.col("chosen")).alias("a"), last_turn(F.col("rejected")).alias("b")).filter("a is not null and b is not null")
     found = turns.filter(normalize(F.col("a.prompt")) == normalize(F.col("b.prompt"))).select(
         "line", F.lit("all").alias("group"), F.lit("en").alias("language"), "a.prompt", F.col("a.response").alias("chosen"), F.col("b.response").alias("rejected")
     )
@@ -358,7 +372,7 @@ def parallel_numbers(rows: DataFrame, source: Source, recipe: str, config: Mappi
     The groups with the least keys, sft_warmup_groups of them, are answered records; the others are prompts
     with an answer to verify. The warm-up is a bounded sort; no window ranks all groups."""
     q, m = clean(F.col("query")), clean(F.col("m_query"))
-    raw = rows.select("line", q.alias("query"), m.alias("m_query"), clean(F.col("equation")).alias("equation"), integer_answer(F.col("response").cast("string")).alias("answer"))
+    raw = _settled(rows, "line", q.alias("query"), m.alias("m_query"), clean(F.col("equation")).alias("equation"), integer_answer(F.col("response").cast("string")).alias("answer"))
     good = _true(F.col("equation").isNotNull() & F.col("answer").isNotNull() & ~_held(F.col("query"), F.col("m_query")))
     digest = record_digest({"query": normalize(F.col("query")), "m_query": normalize(F.col("m_query")), "equation": F.col("equation"), "answer": F.col("answer")})
     valid = raw.filter(good).withColumn("identity", digest)
