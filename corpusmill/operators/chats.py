@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import bound, clean, collapse
-from corpusmill.operators.ordering import first_wins
+from corpusmill.operators.ordering import BUCKET, first_wins, placed
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Most messages of a chain from the root to a leaf.
@@ -88,10 +88,8 @@ def task_family(task: Column, transform: Column | None = None) -> Column:
 
 def preference_pairs(responses: DataFrame, by: list[str], order: str) -> DataFrame:
     """(by, rank, chosen, rejected): the n-th preferred with the n-th other response of each group, texts that
-    are equal once stripped left out. responses: (by.., order, text, preferred)."""
-    from corpusmill.operators.ordering import ranked
-
-    numbered = ranked(responses, [*by, "preferred"], [order])
+    are equal once stripped left out. responses: (by.., order integer, text, preferred)."""
+    numbered = placed(responses, [*by, "preferred"], [F.floor(F.col(order) / BUCKET)], [order], "rank")
     good = numbered.filter("preferred").select(*by, "rank", F.col(order).alias("chosen_id"), F.col("text").alias("chosen"))
     bad = numbered.filter("not preferred").select(*by, "rank", F.col(order).alias("rejected_id"), F.col("text").alias("rejected"))
     return good.join(bad, [*by, "rank"]).filter(clean(F.col("chosen")) != clean(F.col("rejected")))

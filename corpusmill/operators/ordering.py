@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,23 +31,44 @@ def first_wins(df: DataFrame, identity: Sequence[Column | str], order: str) -> D
     return won.select(*[F.col(f"__w.{c}").alias(c) for c in df.columns])
 
 
-def interleaved(df: DataFrame, component: str, order: Sequence[Column | str], out: str = "turn") -> DataFrame:
-    """Round robin over components: out is the row's place in its component; sort by (out, component)."""
-    return ranked(df, [component], order, out)
+def running(df: DataFrame, by: Sequence[str], buckets: Sequence[Column], order: Sequence[str], value: Column, out: str) -> DataFrame:
+    """Exclusive running sum of value within each group, in the order of buckets, then of order.
+
+    Two levels: sums per bucket of a group, a running sum over the buckets (few rows), then a window within
+    each bucket. No group is sorted in one task, whatever its share of the rows. Buckets must follow the order
+    of the columns in order; null groups count as groups."""
+    names = [f"__b{i}" for i in range(len(buckets))]
+    keys = [*by, *names]
+    bucketed = df.withColumns(dict(zip(names, buckets, strict=True)) | {"__v": value})
+    totals = bucketed.groupBy(*keys).agg(F.sum("__v").alias("__t"))
+    before = Window.partitionBy(*by).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*[F.col(k).alias(f"__s_{k}") for k in keys], F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__s"))
+    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = bucketed.withColumn("__o", F.coalesce(F.sum("__v").over(within), F.lit(0)))
+    same = reduce(lambda x, y: x & y, [own[k].eqNullSafe(F.col(f"__s_{k}")) for k in keys])
+    return own.join(starts, same).select(*[own[c] for c in df.columns if c != out], (F.col("__s") + F.col("__o")).alias(out))
+
+
+def hash_bucket(key: str) -> Column:
+    """The first 16 bits of a digest in hex: its order is the digest's."""
+    return F.substring(key, 1, 4)
+
+
+def interleaved(df: DataFrame, component: str, order: Sequence[str], out: str = "turn") -> DataFrame:
+    """Round robin over components: out is the row's place in its component; sort by (out, component).
+    order: columns, the first of them of integers."""
+    return placed(df, [component], [F.floor(F.col(order[0]) / BUCKET)], order, out)
+
+
+def placed(df: DataFrame, by: Sequence[str], buckets: Sequence[Column], order: Sequence[str], out: str) -> DataFrame:
+    """ranked() for groups of any size; see running() for buckets."""
+    counted = running(df, by, buckets, order, F.lit(1), out)
+    return counted.withColumn(out, (F.col(out) + 1).cast("int"))
 
 
 def offsets(df: DataFrame, order: str, value: str, out: str = "offset") -> DataFrame:
-    """Exclusive running sum of value by the integer column order, over all rows.
-
-    Two levels: sums per bucket of order keys, a running sum over buckets (few rows), then a window within
-    each bucket. No window holds all rows in one partition."""
-    bucketed = df.withColumn("__b", F.floor(F.col(order) / BUCKET))
-    totals = bucketed.groupBy("__b").agg(F.sum(value).alias("__t"))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__s"))
-    within = Window.partitionBy("__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    own = bucketed.withColumn("__o", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    return own.join(starts, "__b").withColumn(out, (F.col("__s") + F.col("__o")).cast("long")).drop("__b", "__s", "__o")
+    """Exclusive running sum of value by the integer column order, over all rows."""
+    return running(df, [], [F.floor(F.col(order) / BUCKET)], [order], F.col(value), out).withColumn(out, F.col(out).cast("long"))
 
 
 def first_n(df: DataFrame, order: str, eligible: Column, n: int) -> tuple[DataFrame, DataFrame]:

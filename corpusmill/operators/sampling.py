@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.ident import keyed_digest
-from corpusmill.operators.ordering import ranked
+from corpusmill.operators.ordering import hash_bucket, placed, running, top_k
 
 
 def epoch_batches(df: DataFrame, identity: str, seed: int, epochs: int, size: int) -> DataFrame:
     """(epoch, place, batch, identity): each epoch a permutation by hash; the last batch may be short."""
     each = df.select(identity).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     key = keyed_digest(str(seed), F.col("epoch"), F.col(identity))
-    placed = ranked(each.withColumn("__k", key), ["epoch"], ["__k", identity], "place").drop("__k")
-    return placed.withColumn("batch", F.floor((F.col("place") - 1) / size).cast("long"))
+    found = placed(each.withColumn("__k", key), ["epoch"], [hash_bucket("__k")], ["__k", identity], "place").drop("__k")
+    return found.withColumn("batch", F.floor((F.col("place") - 1) / size).cast("long"))
 
 
 def quota_order(df: DataFrame, stratum: str, tokens: str, identity: str, weights: dict[str, float], seed: int, epochs: int = 1) -> DataFrame:
@@ -28,15 +28,16 @@ def quota_order(df: DataFrame, stratum: str, tokens: str, identity: str, weights
         index = F.when(F.col(stratum) == name, i).otherwise(index)
     own = df.filter(F.col(stratum).isin(names)).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     own = own.withColumn("stratum_index", index).withColumn("__k", keyed_digest(str(seed), F.col("epoch"), F.col(identity)))
-    before = Window.partitionBy(stratum).orderBy("epoch", "__k", identity).rowsBetween(Window.unboundedPreceding, -1)
-    taken = F.coalesce(F.sum(tokens).over(before), F.lit(0))
-    return own.withColumn("quota", taken / weight).drop("__k")
+    order = ["epoch", "__k", identity]
+    taken = running(own, [stratum], [F.col("epoch"), hash_bucket("__k")], order, F.col(tokens), "quota")
+    return taken.withColumn("quota", F.col("quota") / weight).drop("__k")
 
 
 def stratified(df: DataFrame, stratum: str, identity: Column, limit: int) -> DataFrame:
-    """Rows in turn from the strata, each in the order of its identities' hashes, up to limit."""
+    """Rows in turn from the strata, each in the order of its identities' hashes, up to limit. No stratum can
+    give more than limit rows, so the others go before the shuffle."""
     hashed = df.withColumn("__k", F.sha2(identity, 256))
-    return ranked(hashed, [stratum], ["__k"], "turn").orderBy("turn", stratum).limit(limit).drop("__k")
+    return top_k(hashed, [stratum], ["__k"], limit, "turn").orderBy("turn", stratum).limit(limit).drop("__k")
 
 
 def balanced_weights(counts: DataFrame, group: str) -> DataFrame:

@@ -120,6 +120,17 @@ def test_windows_rebuild_the_stream(spark, size):
     assert sum(size - r.valid for r in got) == count.padding
 
 
+def test_places_agree_with_a_window(spark):
+    rng = random.Random(3)
+    rows = [(i * 997, rng.choice(["a", "a", "b", None]), rng.randint(0, 5)) for i in range(300)] + [(5, "c", None)]
+    df = spark.createDataFrame(rows, "i long, g string, n long")
+    want = {r.i: r.rank for r in ordering.ranked(df, ["g"], ["i"]).collect()}
+    assert {r.i: r.turn for r in ordering.interleaved(df, "g", ["i"]).collect()} == want
+    assert ordering.interleaved(df.limit(0), "g", ["i"]).columns == ["i", "g", "n", "turn"]
+    sums = {r.i: r.s for r in ordering.running(df, ["g"], [F.floor(F.col("i") / 4096)], ["i"], F.col("n"), "s").collect()}
+    assert sums == {i: sum(m for j, h, m in rows if h == g and j < i) for i, g, _ in rows}
+
+
 def test_quota_order_is_the_greedy_order(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice("ab"), rng.randint(1, 10)) for i in range(80)]
