@@ -33,6 +33,13 @@ RULES = {
     "webtoken": "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}",
     "pem": "-----BEGIN [A-Z ]*PRIVATE KEY-----",
 }
+#: What redaction takes for a pem span: the key up to its END line or, where that is missing, over the header
+#: fields and base64 lines that follow. The report's span stays the BEGIN line, as in its SQL.
+KEY = (
+    RULES["pem"]
+    + "(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
+    + "|(?:\\s*+(?:Proc-Type|DEK-Info): [^\\n]*+)*+(?:(?:\\s|\\\\[nr]|[\"'>])*+[A-Za-z0-9+/=]{16,}+)*+(?:(?:\\s|\\\\[nr]|[\"'>])++[A-Za-z0-9+/=]++(?=[\"']?[^\\S\\n]*(?:\\n|$)|\\\\[nr]))*+)"
+)
 BASE = ("assign", "access", "hex")
 #: Code points that group 2 of an assignment has at least.
 VALUE = 8
@@ -186,7 +193,7 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, marker: str = "[SECRET]") -> DataFrame:
     """docs with every found secret in text replaced by the marker, and n_chars, if there, brought in line."""
-    found = with_secrets(packed(docs, "doc_id", "text"))
+    found = with_secrets(packed(docs, "doc_id", "text"), RULES | {"pem": KEY})
     spans = F.array_sort(kind_spans({k: F.col(f"found_{k}") for k in RULES}))
     found = found.withColumn("masked", masked(F.col("text"), spans, marker))
     new = {"text": F.col("masked")}

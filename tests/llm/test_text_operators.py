@@ -82,6 +82,25 @@ def test_redaction_keeps_the_rest(spark):
     assert secrets.redact(clashing).columns == clashing.columns
 
 
+def test_redaction_takes_whole_keys(spark):
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = ["MIIEpAIBAAKCAQEA" + "aB3/" * 12] * 400 + ["Qz9+ab=="]
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+    texts = {
+        "x\n" + "\n".join([begin, *body, end]) + "\ny": "x\n[SECRET]\ny",
+        "x\r\n" + "\r\n".join([begin, *body, end]) + "\r\ny": "x\r\n[SECRET]\r\ny",
+        'k = "' + "\\n".join([begin, *body, end]) + '\\n"': 'k = "[SECRET]\\n"',
+        f"{begin}\n{fields}" + "\n".join([*body, end]): "[SECRET]",
+        "x\n" + "\n".join([begin, *body]) + "\nand so on": "x\n[SECRET]\nand so on",
+        f"{begin}\n{fields}" + "\n".join(body): "[SECRET]",
+        "\n".join([begin, *body, begin, *body, end, "z z"]): "[SECRET][SECRET]\nz z",
+        f"as in {begin} and so on - or not": "as in [SECRET] and so on - or not",
+    }
+    got = {r.doc_id: r.text for r in secrets.redact(frame(spark, list(texts))).collect()}
+    for i, want in enumerate(texts.values()):
+        assert got[i].replace("[SECRET]\n[SECRET]", "[SECRET][SECRET]") == want
+
+
 def test_pii_equals_brute_force(spark, documents):
     model = pii.learn(documents)
     for docs in (frame(spark, HARD), documents):
