@@ -9,14 +9,16 @@ than eps apart. What remains is compared in double precision.
 Equal vectors are one class from the start. A task returns, per class, its number of links and a root it
 is connected to, so groups of near copies are never written out as pairs.
 
-Defined cases: null, empty, zero and non-finite vectors, and those not of the commonest length, link with
-nothing and are their own component; a null vec_id takes part in links but names no component unless
+Vectors of different lengths never link: each length has its own rotation and its own intervals.
+
+Defined cases: null, empty, zero and non-finite vectors link with nothing and are their own component; a null vec_id takes part in links but names no component unless
 there is no other; ties and repeated rows count as further vectors; an empty table gives an empty result;
 further columns are ignored."""
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -45,6 +47,11 @@ def rotation(sample: np.ndarray, k: int) -> np.ndarray:
     return np.linalg.eigh(np.cov(sample.T).reshape(sample.shape[1], -1))[1][:, ::-1][:, :k]
 
 
+def axes_of(fitted: dict[int, np.ndarray], width: int) -> np.ndarray:
+    """The rotation of vectors of a length; the first directions as they are where the sample had none."""
+    return fitted[width] if width in fitted else np.eye(width)[:, :DIMENSIONS]
+
+
 def apart(lo1, hi1, lo2, hi2, eps: float) -> bool:
     gap = np.maximum(0, np.maximum(lo1 - hi2, lo2 - hi1))
     return float((gap * gap).sum()) > eps * eps * (1 + 1e-9)
@@ -135,12 +142,12 @@ class Links:
             self.union(i, j)
 
 
-def _task(axes: np.ndarray, eps: float, cosine: float):
+def _task(fitted: dict[int, np.ndarray], eps: float, cosine: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["side", "key", "cid"])
         vectors = np.array(pdf.embedding.tolist(), float)
         unit = vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
-        found = Links(unit, unit @ axes, pdf.copies.to_numpy(np.int64), eps, cosine)
+        found = Links(unit, unit @ axes_of(fitted, unit.shape[1]), pdf.copies.to_numpy(np.int64), eps, cosine)
         n = int((pdf.side == 0).sum())
         if n == len(pdf):
             found.join(0, n, 0, n)
@@ -161,50 +168,67 @@ def near_vectors(table: DataFrame, cosine: float = COSINE) -> DataFrame:
     finite = ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.coalesce((F.size(e) > 0) & finite & F.exists(e, lambda x: x != 0), F.lit(False))
     rows = table.select("vec_id", e.alias("embedding"))
-    common = rows.filter(usable).groupBy(F.size(e).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    width = common.d if common else -1
-    usable = usable & (F.coalesce(F.size(e), F.lit(0)) == width)
     alone = rows.filter(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    if common is None:
-        return alone.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
-
     classes = rows.filter(usable).groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "vectors-classes")
-    sample = classes.orderBy(F.xxhash64("embedding"), "cid").limit(SAMPLE).select("embedding").toPandas()
-    sample = np.array(sample.embedding.tolist(), float)
-    axes = rotation(sample / np.sqrt((sample * sample).sum(1))[:, None], min(DIMENSIONS, width))
+    sizes = {r.width: r["count"] for r in classes.groupBy(F.size("embedding").alias("width")).count().orderBy("width").collect()}
+    if not sizes:
+        return alone.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+    sample = classes.orderBy(F.xxhash64("embedding"), "cid").limit(SAMPLE).select("embedding").toPandas().embedding
+    fitted = {}
+    for width, own in sample.groupby(sample.str.len()):
+        v = np.array(own.tolist(), float)
+        fitted[width] = rotation(v / np.sqrt((v * v).sum(1))[:, None], min(DIMENSIONS, width))
 
     @F.pandas_udf("struct<key:double,at:array<double>>")
     def ordered(vectors: pd.Series) -> pd.DataFrame:
-        v = np.array(vectors.tolist(), float)
-        x = (v / np.sqrt((v * v).sum(1))[:, None]) @ axes
-        key = np.zeros(len(x))
+        keys, at = np.zeros(len(vectors)), np.zeros((len(vectors), DIMENSIONS))
+        widths = vectors.str.len().to_numpy()
         side = int(2 / eps) + 3
-        for i in range(min(ORDERED, x.shape[1])):
-            key = key * side + np.floor((x[:, i] + 1) / eps)
-        tie = x[:, min(ORDERED, x.shape[1] - 1)]
-        return pd.DataFrame({"key": key + (tie + 1.001) / 2.002, "at": list(x)})
-
-    placed = materialize(classes.withColumn("o", ordered("embedding")).select("cid", "copies", "embedding", "o.key", "o.at"), "vectors-order")
-    n = placed.count()
-    m = max(1, min(INTERVALS, math.ceil(n / INTERVAL)))
-    bounds = np.unique(placed.approxQuantile("key", [i / m for i in range(1, m)], 0.1 / m)) if m > 1 else np.zeros(0)
+        for width in np.unique(widths):
+            own = np.flatnonzero(widths == width)
+            v = np.array(vectors.iloc[own].tolist(), float)
+            x = (v / np.sqrt((v * v).sum(1))[:, None]) @ axes_of(fitted, int(width))
+            key = np.zeros(len(x))
+            for i in range(min(ORDERED, x.shape[1])):
+                key = key * side + np.floor((x[:, i] + 1) / eps)
+            tie = x[:, min(ORDERED, x.shape[1] - 1)]
+            keys[own] = key + (tie + 1.001) / 2.002
+            at[own, : x.shape[1]] = x
+        return pd.DataFrame({"key": keys, "at": list(at)})
+
+    placed = classes.withColumn("o", ordered("embedding")).select("cid", "copies", "embedding", F.size("embedding").alias("width"), "o.key", "o.at")
+    placed = materialize(placed, "vectors-order")
+    bounds, first, n = {}, {}, 0  # of each length: where its intervals end, and the number of its first
+    for width, count in sizes.items():
+        m = max(1, min(INTERVALS, math.ceil(count / INTERVAL)))
+        bounds[width] = np.unique(placed.filter(F.col("width") == width).approxQuantile("key", [i / m for i in range(1, m)], 0.1 / m)) if m > 1 else np.zeros(0)
+        first[width], n = n, n + len(bounds[width]) + 1
 
     @F.pandas_udf("int")
-    def interval(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(), side="right").astype(np.int32))
-
-    placed = placed.withColumn("interval", interval("key"))
-    edges = [f(F.col("at")[i]).alias(f"{n}{i}") for i in range(axes.shape[1]) for n, f in (("lo", F.min), ("hi", F.max))]
-    boxes = placed.groupBy("interval").agg(*edges).orderBy("interval").collect()  # at most INTERVALS rows
-    dims = range(axes.shape[1])
-    pairs = interval_pairs([(np.array([b[f"lo{i}"] for i in dims]), np.array([b[f"hi{i}"] for i in dims])) for b in boxes], eps)
-    names = [b.interval for b in boxes]
-    listed = [(names[i], p, 0) for p, (i, _) in enumerate(pairs)] + [(names[j], p, 1) for p, (i, j) in enumerate(pairs) if i != j]
+    def interval(key: pd.Series, width: pd.Series) -> pd.Series:
+        out, keys, widths = np.zeros(len(key), np.int32), key.to_numpy(), width.to_numpy()
+        for w in np.unique(widths):
+            own = widths == w
+            out[own] = first[w] + np.searchsorted(bounds[w], keys[own], side="right")
+        return pd.Series(out)
+
+    placed = placed.withColumn("interval", interval("key", "width"))
+    dims = range(DIMENSIONS)
+    edges = [f(F.col("at")[i]).alias(f"{n}{i}") for i in dims for n, f in (("lo", F.min), ("hi", F.max))]
+    boxes = defaultdict(list)
+    for b in placed.groupBy("width", "interval").agg(*edges).orderBy("interval").collect():  # at most INTERVALS rows a length
+        boxes[b.width].append(b)
+    pairs = []
+    for own in boxes.values():
+        found = interval_pairs([(np.array([b[f"lo{i}"] for i in dims]), np.array([b[f"hi{i}"] for i in dims])) for b in own], eps)
+        pairs += [(own[i].interval, own[j].interval) for i, j in found]
+    listed = [(i, p, 0) for p, (i, _) in enumerate(pairs)] + [(j, p, 1) for p, (i, j) in enumerate(pairs) if i != j]
     parts = spark.createDataFrame(listed, "interval int, pair long, side int")
     parts = F.broadcast(parts) if len(listed) <= BROADCAST_PAIRS else parts
     tasks = placed.select("cid", "copies", "embedding", "key", "interval").join(parts, "interval")
-    found = tasks.groupBy("pair").applyInPandas(_task(axes, eps, cosine), "cid long, links long, root long")
+    found = tasks.groupBy("pair").applyInPandas(_task(fitted, eps, cosine), "cid long, links long, root long")
     found = materialize(found, "vectors-links")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("cid").alias("src"), F.col("root").alias("dst")), "vectors-components")

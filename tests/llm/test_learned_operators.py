@@ -116,6 +116,26 @@ def test_vector_edge_cases(spark):
     assert vectors.near_vectors(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sample,interval", [(20_000, 8192), (1, 8)])
+def test_vectors_of_every_length_link(spark, monkeypatch, sample, interval):
+    monkeypatch.setattr(vectors, "SAMPLE", sample)
+    monkeypatch.setattr(vectors, "INTERVAL", interval)
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for width, n in ((12, 40), (10, 20), (3, 20), (1, 3)):
+        base = rng.normal(size=(n, width))
+        v = np.concatenate([base, base * 2, base + rng.normal(size=base.shape) * 0.05]).astype(np.float32)
+        x = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+        near = x @ x.T >= 0.95
+        np.fill_diagonal(near, False)
+        at = len(rows)
+        rows += [(at + i, a.tolist()) for i, a in enumerate(v)]
+        least = components(len(v), list(zip(*np.nonzero(near))))
+        want |= {at + i: (near[i].sum(), at + least[i]) for i in range(len(v))}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == want
+
+
 def test_chain_equals_step_by_step():
     rng = np.random.default_rng(0)
     lengths = np.array([0, 1, 5, 300, 700, 256])
