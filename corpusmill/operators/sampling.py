@@ -20,13 +20,15 @@ def epoch_batches(df: DataFrame, identity: str, seed: int, epochs: int, size: in
 def quota_order(df: DataFrame, stratum: str, tokens: str, identity: str, weights: dict[str, float], seed: int, epochs: int = 1) -> DataFrame:
     """df with quota, stratum_index and epoch; sorted by (quota, stratum_index) it is the order in which a
     greedy sampler takes rows, always from the stratum furthest below its weight: the sum of the tokens
-    taken from a stratum before, over its weight, is when its turn comes."""
+    taken from a stratum before, over its weight, is when its turn comes. A row of a stratum without a weight
+    is an error, as in a stream: the caller says which strata to leave out."""
     names = sorted(weights)
     weight, index = F.lit(None).cast("double"), F.lit(None).cast("int")
     for i, name in enumerate(names):
         weight = F.when(F.col(stratum) == name, weights[name]).otherwise(weight)
         index = F.when(F.col(stratum) == name, i).otherwise(index)
-    own = df.filter(F.col(stratum).isin(names)).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    unknown = F.raise_error(F.concat(F.lit("no weight for stratum "), F.coalesce(F.col(stratum).cast("string"), F.lit("null"))))
+    own = df.filter(F.when(F.col(stratum).isin(names), True).otherwise(unknown.cast("boolean"))).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     own = own.withColumn("stratum_index", index).withColumn("__k", keyed_digest(str(seed), F.col("epoch"), F.col(identity)))
     order = ["epoch", "__k", identity]
     taken = running(own, [stratum], [F.col("epoch"), hash_bucket("__k")], order, F.col(tokens), "quota")

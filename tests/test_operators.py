@@ -148,6 +148,13 @@ def test_quota_order_is_the_greedy_order(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("stratum", ["c", None])
+def test_quota_order_refuses_strata_without_weight(spark, stratum):
+    df = spark.createDataFrame([(1, "a", 3), (2, stratum, 4)], "i long, s string, n long")
+    with pytest.raises(Exception, match="no weight for stratum"):
+        sampling.quota_order(df, "s", "n", "i", {"a": 1.0}, 7).collect()
+
+
 def test_stratified_subset_and_epochs(spark):
     df = spark.createDataFrame([(i, "en" if i % 2 else "zh") for i in range(10)], "i long, lang string")
     got = sampling.stratified(df, "lang", F.col("i").cast("string"), 6).collect()
