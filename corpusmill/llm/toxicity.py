@@ -7,8 +7,8 @@ weights of its word and of its first 4 to 7 letters, and transitions tie neighbo
 marginals give each token's probability; their sum, maximum and density give the document's score by
 a logistic calibration, and runs of tokens above one half are the offending spans.
 
-Fitting uses a bounded sample: SAMPLE labelled rows of each class of at most SAMPLE_CHARS characters,
-the first by hash. Scoring covers every text whole.
+Fitting uses a sample: SAMPLE labelled rows of each class, the first by hash, whole whatever their length.
+Scoring covers every text whole.
 
 Defined cases: null or blank text has no tokens, no spans and the score of zero evidence; documents
 without a label (or a null doc_id) are scored, never learnt from; with no or one class of labels every
@@ -34,8 +34,7 @@ from corpusmill.llm.wordhash import Rows, ranges
 
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
-SAMPLE = 1000
-SAMPLE_CHARS = 15_000
+SAMPLE = 1500
 #: Tokens of a block of documents that fitting passes over at once.
 BLOCK = 150_000
 #: Documents of the sample that a feature has to be in.
@@ -288,9 +287,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """A model from the bounded sample of docs (doc_id, text) and labels (doc_id, toxic)."""
+    """A model from the sample of docs (doc_id, text) and labels (doc_id, toxic)."""
     known = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.filter(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text").filter(fold(F.col("doc_id")) != HELD_OUT)
+    rows = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").filter(fold(F.col("doc_id")) != HELD_OUT)
     pairs = rows.join(known, "doc_id")
     classes = {r.toxic: r["count"] for r in pairs.groupBy("toxic").count().collect()}
     texts, ys, scale = [], [], []

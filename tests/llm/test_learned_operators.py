@@ -215,3 +215,14 @@ def test_languages_held_out(spark):
     assert [got[i].lang_pred for i in (901, 902, 903)] == ["und"] * 3 and all(0 <= r.score <= 1 for r in got.values())
     assert langid.language_report(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in langid.language_report(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_toxicity_learns_from_long_documents(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(800)]
+    texts = [" ".join(rng.choices(words, k=3200)) for _ in range(60)]
+    rows = [(i, t + (" zzqxvile" * 5 if i % 3 == 0 else "")) for i, t in enumerate(texts)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    assert min(len(t) for _, t in rows) > 20_000
+    model = toxicity.learn(spark.createDataFrame(rows, SCHEMA), labels)
+    assert model is not None and model.weights["zzqxvile"] > 0
