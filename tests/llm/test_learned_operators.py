@@ -1,6 +1,8 @@
 """Near duplicates, vectors, toxicity and languages against brute force or held-out accuracy."""
 
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -226,3 +228,32 @@ def test_toxicity_learns_from_long_documents(spark):
     assert min(len(t) for _, t in rows) > 20_000
     model = toxicity.learn(spark.createDataFrame(rows, SCHEMA), labels)
     assert model is not None and model.weights["zzqxvile"] > 0
+
+
+def test_languages_keep_every_ngram(spark):
+    """More n-grams than 200,000, all but some once: the rare ones keep the discount and the lower orders."""
+    rng = random.Random(9)
+    text = " ".join("".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(40)) for _ in range(6000))
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % langid.FOLDS != langid.HELD_OUT][:4]
+    rows = [(ids[0], text, "zh"), (ids[1], "abab abc", "en"), (ids[2], "abab", "en"), (ids[3], None, "en")]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    grams = langid.grams(Counter(text.encode().split()))
+    once, twice = (sum(n == k for n in grams.values()) for k in (1, 2))
+    zh = model.languages.index("zh")
+    top = model.orders[-1]
+    assert (top.share[:, zh] > 0).sum() == len(grams) > 200_000
+    D = once / (once + 2 * twice) if twice else 0.5
+    total = Counter()
+    for g, n in grams.items():
+        total[g[:-1]] += n
+    for g in list(grams)[::5000]:
+        at = np.searchsorted(top.keys, langid._hashes(langid._codes([g]), 4)[0])
+        assert np.isclose(top.share[at, zh], (grams[g] - D) / total[g[:-1]])
+    one = model.orders[0]
+    kinds = {a[-2:] for a in {g[1:] for g in grams}}  # bigrams
+    last = Counter(b[-1] for b in kinds)
+    for c in list(last)[::300]:
+        at = np.searchsorted(one.keys, langid._hashes(langid._codes([c]), 1)[0])
+        own = sum(n == 1 for n in last.values()), sum(n == 2 for n in last.values())
+        d = own[0] / (own[0] + 2 * own[1]) if all(own) else 0.5
+        assert np.isclose(one.share[at, zh], (last[c] - d) / len(kinds))
