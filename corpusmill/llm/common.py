@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.session import ship
+
 #: A word, as the contracts of these operators define it.
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Rows of one Arrow batch handed to Python, so that long texts stay within a worker's memory.
@@ -32,13 +34,22 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """df written once to the shared folder and read again: the plan above it restarts from files
     that every executor sees, so a lost executor costs a re-read and ids made below stay the same."""
     spark = df.sparkSession
-    path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_arrow(spark: SparkSession) -> None:
-    """Keep Arrow batches small: a batch of whole texts has to fit a Python worker."""
+def release(spark: SparkSession) -> None:
+    """Delete the application's scratch tables. Frames that operators returned can't be read afterwards."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{scratch(spark)}/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def workers(spark: SparkSession) -> None:
+    """Make ready for Python workers: they get this package, and Arrow batches stay small, as a batch of whole
+    texts has to fit a worker."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
@@ -94,7 +105,8 @@ def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
 
 
 def bounded_sample(rows: DataFrame, n: int) -> DataFrame:
-    """The n rows (doc_id, ..) first by hash of doc_id, ties with the last included: only hashes are ranked."""
-    hashed = rows.withColumn("__h", F.xxhash64("doc_id"))
+    """The n rows (doc_id, text, ..) first by a hash of doc_id and text, so that one repeated id is no tie. Only
+    hashes are ranked; of rows that share the last one, as repeated rows do, no more than n are taken."""
+    hashed = rows.withColumn("__h", F.xxhash64("doc_id", "text"))
     first = [r[0] for r in hashed.select("__h").orderBy("__h").limit(n).collect()]
-    return hashed.filter(F.col("__h") <= (first[-1] if first else 0)).drop("__h")
+    return hashed.filter(F.col("__h") <= (first[-1] if first else 0)).drop("__h").limit(n)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import bounded_arrow, materialize
+from corpusmill.llm.common import workers, materialize
 from corpusmill.llm.wordhash import Growing, Words, ranges
 
 CAPACITY = 2048
@@ -140,7 +140,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator:
         for texts in batches:
             yield pd.Series([cut(ids, capacity, separator) for ids in encoder(texts)], dtype=object)
 
-    bounded_arrow(docs.sparkSession)
+    workers(docs.sparkSession)
     return docs.select("doc_id", F.explode(divide(F.col("text").cast("binary"))).alias("p")).select("doc_id", "p.*")
 
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import bounded_arrow, connected_components, materialize, packed, unpacked
+from corpusmill.llm.common import workers, connected_components, materialize, packed, unpacked
 
 RADIUS = 3
 SHINGLE = 3
@@ -120,7 +120,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fp") -> D
     def compute(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t) for t in texts], dtype="int64")
 
-    bounded_arrow(docs.sparkSession)
+    workers(docs.sparkSession)
     return docs.withColumn(out, compute(F.col(text)))
 
 

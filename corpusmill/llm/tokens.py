@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import bounded_arrow
+from corpusmill.llm.common import workers
 
 #: Tokens beyond which a document is over the limit.
 LIMIT = 4096
@@ -98,6 +98,6 @@ def token_counts(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
         for texts in batches:
             yield pd.Series(counter(texts), dtype="int64")
 
-    bounded_arrow(docs.sparkSession)
+    workers(docs.sparkSession)
     counted = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), count("text").alias("n_tokens"))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import WORD, bounded_arrow, bounded_sample, packed, unpacked
+from corpusmill.llm.common import WORD, workers, bounded_sample, packed, unpacked
 from corpusmill.llm.simhash import fingerprint
 from corpusmill.llm.wordhash import Rows, ranges
 
@@ -312,7 +312,7 @@ def with_scores(docs: DataFrame, model: Model | None) -> DataFrame:
             values, spans = scorer(texts) if scorer else (np.zeros(len(texts)), [[] for _ in texts])
             yield pd.DataFrame({"score": values, "spans": [[{"start": a, "end": b} for a, b in own] for own in spans]})
 
-    bounded_arrow(docs.sparkSession)
+    workers(docs.sparkSession)
     return docs.withColumn("toxicity", score(F.col("text").cast("binary")))
 
 
