@@ -1,13 +1,12 @@
-"""What the operators share: input, scratch tables, word classes and connected components."""
+"""What the operators share: input, word classes, samples and connected components."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.session import ship
+from corpusmill.sources.scratch import materialize
 
 #: A word, as the contracts of these operators define it.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -19,33 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder for tables that cut lineage: the cluster's spark.checkpoint.dir, or under
-    the warehouse where that is unset; a local session (tests) uses /tmp/checkpoints."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        return "file:///tmp/checkpoints/corpusmill"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """df written once to the shared folder and read again: the plan above it restarts from files
-    that every executor sees, so a lost executor costs a re-read and ids made below stay the same."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the application's scratch tables. Frames that operators returned can't be read afterwards."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{scratch(spark)}/{spark.sparkContext.applicationId}")
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def workers(spark: SparkSession) -> None:
     """Make ready for Python workers: they get this package, and Arrow batches stay small, as a batch of whole
     texts has to fit a worker."""

@@ -7,12 +7,15 @@ fits, so at most two share a sequence; shorter ones go, longest first, to the ti
 is a list of runs (length, ranks, sequences), so its size depends on the capacity and not on the data,
 and every piece finds its place from its rank among pieces of its length.
 
-Defined cases: null or empty text is the separator alone; repeated rows are packed once each; a null
+Defined cases: null or empty text is the separator alone; very long texts are cut like others; repeated
+rows are packed once each; pieces of equal length, rows of equal doc_id among them, take their places in
+the order of doc_id (null first), piece, start and checksum, and what ties there is interchangeable; a null
 doc_id is packed like any other; an empty table gives an empty result; further columns are ignored."""
 
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,11 +31,10 @@ from corpusmill.llm.wordhash import Growing, Words, ranges
 
 CAPACITY = 2048
 SEPARATOR = 0
-#: Chunks whose ids a worker keeps, in each of two generations.
-KEPT = 600_000
-#: Pieces of one length that are ranked in one task, on average; more get further salts.
-RANKED = 500_000
-MAX_SALTS = 4096
+#: Chunks, and ids, that a worker keeps in each of two generations.
+KEPT, KEPT_IDS = 600_000, 8_000_000
+#: Pieces of one length that are ranked in one task, on average, at most.
+RANKED = 50_000
 
 PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 
@@ -45,6 +47,26 @@ PLAIN_CHUNKS = re.compile(f"[ -&(-~{LETTERS}\u00a1\u00ab\u00bb\u00bf]*")
 #: others or a digit, and ends in one end-of-word token.
 CLASSES = np.array([0 if c == 32 else 1 if re.match(f"[{LETTERS}]", chr(c)) else 2 if 48 <= c < 58 else 3 for c in range(0x250)], np.int8)
 END_OF_WORD = "</w>"
+#: The normalizer and the pre-tokenizer for which the above holds; load() takes no others.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRE_TOKENIZER = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def load(path: str):
+    """The tokenizer; ValueError where it isn't one whose chunks between blanks are known to encode on their own."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    spec = json.loads(tokenizer.to_str())
+    model = spec["model"]
+    parts = [(spec["normalizer"] or {}).get("normalizers"), (spec["pre_tokenizer"] or {}).get("pretokenizers")]
+    plain = model["type"] == "BPE" and model["end_of_word_suffix"] == END_OF_WORD and not (model["dropout"] or model["continuing_subword_prefix"] or model["ignore_merges"])
+    if parts != [NORMALIZER, PRE_TOKENIZER] or not plain or not all(t["content"].startswith("<|") for t in spec["added_tokens"]):
+        raise ValueError(f"{path}: chunks of this tokenizer aren't known to encode on their own")
+    return tokenizer
 
 
 class Encoder(Words):
@@ -54,9 +76,7 @@ class Encoder(Words):
     at end-of-word tokens. Memory is bounded by two generations of chunks."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = load(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(END_OF_WORD)]] = True
@@ -84,15 +104,18 @@ class Encoder(Words):
         found = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "surrogatepass") for c in chunks], add_special_tokens=False)]
         return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
 
-    def learn(self, keys: np.ndarray, chunks: list[bytes]) -> None:
+    def full(self) -> bool:
+        return super().full() or self.ids.n > KEPT_IDS
+
+    def learn(self, keys: np.ndarray, seconds: np.ndarray, chunks: list[bytes]) -> None:
         special = np.array([b"<|" in c or not PLAIN.fullmatch(c.decode("utf-8", "surrogatepass")) for c in chunks], bool)
         for own in (np.flatnonzero(~special), np.flatnonzero(special)):
             for at in range(0, len(own), 2000):
                 part = own[at : at + 2000]
-                self.keep(keys[part], *self.encoded([chunks[i] for i in part.tolist()]))
+                self.keep(keys[part], seconds[part], *self.encoded([chunks[i] for i in part.tolist()]))
 
-    def keep(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.register(keys, self.starts.n)
+    def keep(self, keys: np.ndarray, seconds: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.register(keys, seconds, self.starts.n)
         self.starts.extend(self.ids.n + np.cumsum(sizes) - sizes)
         self.ids.extend(ids)
         self.sizes.extend(sizes)
@@ -100,9 +123,9 @@ class Encoder(Words):
     def rows(self) -> tuple[np.ndarray, ...]:
         return self.ids.all, self.starts.all, self.sizes.all
 
-    def carry(self, keys: np.ndarray, places: np.ndarray, *rows: np.ndarray) -> None:
+    def carry(self, keys: np.ndarray, seconds: np.ndarray, places: np.ndarray, *rows: np.ndarray) -> None:
         ids, starts, sizes = rows
-        self.keep(keys, ids[ranges(starts[places], sizes[places])], sizes[places])
+        self.keep(keys, seconds, ids[ranges(starts[places], sizes[places])], sizes[places])
 
     def __call__(self, texts) -> Iterator[np.ndarray]:
         for at, firsts in self.parts([self.lowered(t) for t in texts]):
@@ -169,7 +192,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
     for a in reversed(large):
         while left[a]:
             at = bisect.bisect_right(large, min(a, capacity - a)) - 1
-            while at >= 0 and not left[large[at]]:
+            while at >= 0 and left[large[at]] < (2 if large[at] == a else 1):
                 at -= 1
             b = large[at] if at >= 0 else None
             n = 0 if b is None else left[a] // 2 if a == b else min(left[a], left[b])
@@ -221,29 +244,26 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: i
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece."""
     spark = docs.sparkSession
     cut_up = materialize(pieces(docs, tokenizer, capacity, separator), "packing-pieces")
-    salts = max(1, min(MAX_SALTS, cut_up.count() // RANKED))
-    salted = cut_up.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    # At most capacity * salts groups, both of which are bounded.
-    counts = sorted(tuple(r) for r in salted.groupBy("length", "salt").count().collect())
-    histogram: dict[int, int] = {}
-    before: dict[tuple[int, int], int] = {}
-    for length, salt, n in counts:
-        before[length, salt] = histogram.get(length, 0)
-        histogram[length] = before[length, salt] + n
+    histogram = {r.length: r["count"] for r in cut_up.groupBy("length").count().collect()}  # at most capacity rows
     runs, _ = plan(histogram, capacity)
+    # A length is ranked in as many tasks as it has pieces for: each gets a salt and goes on where the ones before it end.
+    ranked = min(RANKED, max(256, sum(histogram.values()) // capacity))
+    salts = F.broadcast(spark.createDataFrame([(n, -(-c // ranked)) for n, c in histogram.items()], "length long, salts long"))
+    salted = cut_up.join(salts, "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "salts"))
+    earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
     by_length: dict[int, list] = {}
     for length, *run in sorted(runs):
         by_length.setdefault(length, []).append(run)
-    known = spark.sparkContext.broadcast((before, {n: np.array(r, np.int64).T for n, r in by_length.items()}))
+    known = spark.sparkContext.broadcast({n: np.array(r, np.int64).T for n, r in by_length.items()})
 
     @F.pandas_udf("struct<sequence_id:long,offset:long>")
-    def place(length: pd.Series, salt: pd.Series, within: pd.Series) -> pd.DataFrame:
-        starts, tables = known.value
-        n, s, r = length.to_numpy(), salt.to_numpy(), within.to_numpy()
+    def place(length: pd.Series, ranks: pd.Series) -> pd.DataFrame:
+        tables, n, r = known.value, length.to_numpy(), ranks.to_numpy()
         sequence, offset = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
         for value in np.unique(n):
             own = np.flatnonzero(n == value)
-            rank = r[own] + np.array([starts[int(value), int(x)] for x in s[own]], np.int64)
+            rank = r[own]
             firsts, bins, per, base = tables[int(value)]
             run = np.searchsorted(firsts, rank, side="right") - 1
             sequence[own] = bins[run] + (rank - firsts[run]) // per[run]
@@ -251,6 +271,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: i
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = salted.withColumn("within", F.row_number().over(within) - 1)
-    placed = ranked.withColumn("at", place("length", "salt", "within"))
+    numbered = salted.withColumn("within", F.row_number().over(within) - 1).join(before, ["length", "salt"])
+    placed = numbered.withColumn("at", place("length", F.col("before") + F.col("within")))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset")

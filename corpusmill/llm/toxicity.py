@@ -11,9 +11,10 @@ Fitting uses a sample: SAMPLE labelled rows of each class, the first by hash, wh
 Scoring covers every text whole.
 
 Defined cases: null or blank text has no tokens, no spans and the score of zero evidence; documents
-without a label (or a null doc_id) are scored, never learnt from; with no or one class of labels every
-score is 0; repeated rows score alike; an empty table gives an empty result; further columns are
-ignored (reject_toxic keeps them)."""
+without a label (or a null doc_id) are scored, never learnt from; a doc_id that labels have twice is toxic
+if one of them says so; with no or one class of labels every score is 0; very long texts are scored whole, in
+lanes of LANE tokens, about 100 bytes each; a score of just the threshold counts as toxic; repeated rows score
+alike; an empty table gives an empty result; further columns are ignored (reject_toxic keeps them)."""
 
 from __future__ import annotations
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import WORD, workers, bounded_sample, packed, unpacked
 from corpusmill.llm.simhash import fingerprint
-from corpusmill.llm.wordhash import Rows, ranges
+from corpusmill.llm.wordhash import Rows
 
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
@@ -70,67 +71,67 @@ class Chain:
         self.size = np.minimum(LANE, self.lengths[self.doc] - self.nth * LANE)
         self.mask = np.arange(LANE) < self.size[:, None]
 
-    def marginals(self, emission: np.ndarray, trans: np.ndarray, first: float) -> tuple[np.ndarray, np.ndarray]:
-        """P(state 1) of each token, and the expected transitions (2, 2) of all documents.
+    def marginals(self, emission: np.ndarray, trans: np.ndarray, first: float, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """P(state 1) of each token and, if pairs, the expected transitions (2, 2) of all documents.
 
-        emission: log odds of state 1; trans: log weights; first: log odds of state 1 at the start."""
+        emission: log odds of state 1; trans: log weights; first: log odds of state 1 at the start. Two numbers
+        a token are held at a time."""
+        seen = np.zeros((2, 2))
         if not self.n_lanes:
-            return np.zeros(0), np.zeros((2, 2))
-        T = np.exp(trans)
-        x = np.ones((self.n_lanes, LANE))
-        x[self.mask] = np.exp(np.clip(emission, -30, 30))
-        step = [(x[:, t], self.mask[:, t]) for t in range(LANE)]
-        # The product of each lane's transfer matrices, rescaled on the way.
-        P = np.broadcast_to(np.eye(2), (self.n_lanes, 2, 2)).copy()
-        for xt, on in step:
-            Q = P @ T
-            Q[:, :, 1] *= xt[:, None]
-            Q /= Q.sum((1, 2), keepdims=True)
-            P = np.where(on[:, None, None], Q, P)
-        # Forward start and backward end of each lane, lane by lane of all documents at once.
-        start, end = np.zeros((self.n_lanes, 2)), np.ones((self.n_lanes, 2))
-        heads = np.flatnonzero(self.nth == 0)
-        order = [heads + 0]
+            return np.zeros(0), seen
+        (t00, t01), (t10, t11) = np.exp(trans).tolist()
+        x, on = np.ones((self.n_lanes, LANE)), self.mask
+        x[on] = np.exp(np.clip(emission, -30, 30))
+        x, on, head = np.ascontiguousarray(x.T), np.ascontiguousarray(on.T), self.nth == 0
+        heads, opening = np.flatnonzero(head), math.exp(first)
         count = np.bincount(self.doc, minlength=len(self.lengths))[self.doc[heads]]
-        # start holds the vector before the lane's first transition; the first token has no transition.
-        begin = np.linalg.solve(T.T, np.array([1.0, math.exp(first)])) if abs(np.linalg.det(T)) > 1e-12 else np.ones(2)
-        start[heads] = begin
-        for k in range(1, int(count.max())):
-            own = heads[count > k] + k
-            v = np.einsum("li,lij->lj", start[own - 1], P[own - 1])
-            start[own] = v / np.abs(v).sum(1, keepdims=True)
-            order.append(own)
-        for k in range(int(count.max()) - 2, -1, -1):
-            own = heads[count > k + 1] + k
-            v = np.einsum("lij,lj->li", P[own + 1], end[own + 1])
-            end[own] = v / v.sum(1, keepdims=True)
-        forward = np.empty((LANE, self.n_lanes, 2))
-        a = start
-        for t, (xt, on) in enumerate(step):
-            b = a @ T
-            b[:, 1] *= xt
-            b /= b.sum(1, keepdims=True)
-            a = np.where(on[:, None], b, a)
-            forward[t] = a
-        backward = np.empty((LANE, self.n_lanes, 2))
-        b = end
+        # What comes into each lane and what follows it, lane by lane of all documents at once.
+        start, end = np.full((2, self.n_lanes), 0.5), np.ones((2, self.n_lanes))
+        if (most := int(count.max())) > 1:
+            P = self._products(x, on, head, (t00, t01, t10, t11), opening)
+            for k in range(1, most):
+                own = heads[count > k] + k
+                v = start[0, own - 1] * P[:2, own - 1] + start[1, own - 1] * P[2:, own - 1] if k > 1 else P[:2, own - 1]
+                start[:, own] = v / v.sum(0)
+            for k in range(most - 2, -1, -1):
+                own = heads[count > k + 1] + k
+                after, into = P[:, own + 1], end[:, own + 1]
+                v = np.stack([after[0] * into[0] + after[1] * into[1], after[2] * into[0] + after[3] * into[1]])
+                end[:, own] = v / v.sum(0)
+        forward = np.empty((LANE, self.n_lanes))
+        a0, a1 = start
+        for t in range(LANE):
+            b0, b1 = a0 * t00 + a1 * t10, (a0 * t01 + a1 * t11) * x[t]
+            if t == 0:
+                b0, b1 = np.where(head, 1.0, b0), np.where(head, opening * x[t], b1)
+            a1 = np.where(on[t], b1 / (b0 + b1), a1)
+            a0 = 1 - a1
+            forward[t] = a1
+        b0, b1 = end
         for t in range(LANE - 1, -1, -1):
-            xt, on = step[t]
-            backward[t] = b
-            c = b.copy()
-            c[:, 1] *= xt
-            c = c @ T.T
-            c /= c.sum(1, keepdims=True)
-            b = np.where(on[:, None], c, b)
-        both = forward * backward
-        p = (both[:, :, 1] / both.sum(2)).T
-        # Expected transitions between a token and the one before it, but for the first of a document.
-        before = np.concatenate([start[None], forward[:-1]])
-        pair = before[:, :, :, None] * T * np.stack([np.ones_like(x.T), x.T], -1)[:, :, None, :] * backward[:, :, None, :]
-        pair /= pair.sum((2, 3), keepdims=True)
-        use = self.mask.T.copy()
-        use[0, heads] = False
-        return p[self.mask], np.einsum("tlij,tl->ij", pair, use)
+            xb = x[t] * b1
+            if pairs:
+                f1 = forward[t - 1] if t else start[1]
+                f0 = 1 - f1 if t else start[0]
+                w = np.stack([f0 * t00 * b0, f0 * t01 * xb, f1 * t10 * b0, f1 * t11 * xb])
+                seen += (w / w.sum(0))[:, on[t] & ~head if t == 0 else on[t]].sum(1).reshape(2, 2)
+            one = forward[t] * b1
+            forward[t] = one / (one + (1 - forward[t]) * b0)  # from here on the marginal
+            c0, c1 = t00 * b0 + t01 * xb, t10 * b0 + t11 * xb
+            b0, b1 = np.where(on[t], c0 / (c0 + c1), b0), np.where(on[t], c1 / (c0 + c1), b1)
+        return forward.T[self.mask], seen
+
+    @staticmethod
+    def _products(x: np.ndarray, on: np.ndarray, head: np.ndarray, t: tuple, opening: float) -> np.ndarray:
+        """The product of each lane's transfer matrices, by rows, rescaled on the way; a first lane's has one row."""
+        t00, t01, t10, t11 = t
+        P = np.repeat(np.array([[1.0], [0.0], [0.0], [1.0]]), x.shape[1], axis=1)
+        for k in range(len(x)):
+            Q = np.stack([P[0] * t00 + P[1] * t10, (P[0] * t01 + P[1] * t11) * x[k], P[2] * t00 + P[3] * t10, (P[2] * t01 + P[3] * t11) * x[k]])
+            if k == 0:
+                Q = np.where(head, np.stack([np.ones(len(head)), opening * x[0], np.zeros(len(head)), np.zeros(len(head))]), Q)
+            P = np.where(on[k], Q / Q.sum(0), P)
+        return P
 
 
 @dataclass
@@ -182,7 +183,7 @@ def fit(texts: list[str], labels: list[int], weights: list[float] | None = None)
     if len(set(labels)) < 2:
         return None
     number: dict[bytes, int] = {}
-    docs = [np.array([number.setdefault(c, len(number)) for c in t.encode().lower().split()], np.int64) for t in texts]
+    docs = [np.fromiter((number.setdefault(c, len(number)) for c in t.encode("utf-8", "surrogatepass").lower().split()), np.int32) for t in texts]
     of = [features(c.decode("utf-8", "replace")) for c in number]
     in_docs, in_toxic = Counter(), Counter()
     for d, label in zip(docs, labels):
@@ -202,45 +203,43 @@ def fit(texts: list[str], labels: list[int], weights: list[float] | None = None)
 
     marked = np.array([any(tells(f) for f in fs) for fs in of], bool)
     ids = [[at[f] for f in fs if f in at] for fs in of]
-    sizes = np.array([len(own) for own in ids], np.int64)
-    starts, flat = np.cumsum(sizes) - sizes, np.array([i for own in ids for i in own], np.int64)
+    word = np.repeat(np.arange(len(ids)), [len(own) for own in ids])
+    feature = np.array([i for own in ids for i in own], np.int64)
     del in_docs, in_toxic, of, ids
-    # Blocks of documents, so that the passes need little memory; with each token's features and target.
+    # Blocks of documents, so that the passes need little memory; of each token its word and target.
     blocks = []
     for part in np.array_split(np.arange(len(docs)), max(1, sum(map(len, docs)) // BLOCK)):
-        own = np.concatenate([docs[i] for i in part]) if len(part) else np.zeros(0, np.int64)
+        own = np.concatenate([docs[i] for i in part]) if len(part) else np.zeros(0, np.int32)
         lengths = np.array([len(docs[i]) for i in part], np.int64)
-        target = marked[own] & np.repeat(y[part] == 1, lengths)
-        token = np.repeat(np.arange(len(own)), sizes[own])
-        blocks.append((Chain(lengths), flat[ranges(starts[own], sizes[own])], token, target.astype(float)))
+        blocks.append((Chain(lengths), own, marked[own] & np.repeat(y[part] == 1, lengths)))
     gold = np.zeros((2, 2))
-    for chain, _, _, target in blocks:
+    for chain, _, target in blocks:
         inside = np.ones(len(target), bool)
         inside[(np.cumsum(chain.lengths) - chain.lengths)[chain.lengths > 0]] = False
-        pairs = target[:-1][inside[1:]] * 2 + target[1:][inside[1:]]
-        gold += np.bincount(pairs.astype(int), minlength=4).reshape(2, 2)
+        gold += np.bincount((target[:-1] * 2 + target[1:])[inside[1:]], minlength=4).reshape(2, 2)
     # The model's own expectations are matched to the labels' by AdaGrad, with a pull to zero.
     w, trans, bias, first = np.zeros(len(names)), np.array([[0.0, -2.0], [0.0, -1.0]]), -2.0, -2.0
     gw, gt, gb = np.full(len(names), 1e-8), np.full((2, 2), 1e-8), 1e-8
 
-    def emissions(feature, token, n: int) -> np.ndarray:
-        return bias + np.bincount(token, w[feature], minlength=n)
+    def emissions() -> np.ndarray:
+        """Of each word."""
+        return bias + np.bincount(word, w[feature], minlength=len(marked))
 
     for _ in range(STEPS):
-        d, dt, db = -0.05 * w, gold.copy(), 0.0
-        for chain, feature, token, target in blocks:
-            p, seen = chain.marginals(emissions(feature, token, len(target)), trans, first)
-            miss = target - p
-            d += np.bincount(feature, miss[token], minlength=len(names))
+        e, miss, dt = emissions(), np.zeros(len(marked)), gold.copy()
+        for chain, own, target in blocks:
+            p, seen = chain.marginals(e[own], trans, first, pairs=True)
+            miss += np.bincount(own, target - p, minlength=len(marked))
             dt -= seen
-            db += miss.sum()
+        d, db = np.bincount(feature, miss[word], minlength=len(names)) - 0.05 * w, miss.sum()
         gw, gt, gb = gw + d * d, gt + dt * dt, gb + db * db
         w += 0.7 * d / np.sqrt(gw)
         step = 0.2 * dt / np.sqrt(gt)
         step[0, 0] = 0.0  # one of the weights is free
         trans = trans + step
         bias += 0.3 * db / math.sqrt(gb)
-    X = np.concatenate([evidence(c.marginals(emissions(f, t, len(g)), trans, first)[0], c.lengths) for c, f, t, g in blocks])
+    e = emissions()
+    X = np.concatenate([evidence(c.marginals(e[own], trans, first)[0], c.lengths) for c, own, _ in blocks])
     scale = np.ones(len(y)) if weights is None else np.asarray(weights)
     keep = np.repeat(np.arange(len(y)), np.maximum(1, np.round(scale)).astype(int))
     used = {f: float(w[i]) for f, i in at.items() if abs(w[i]) > 1e-3}
@@ -254,15 +253,16 @@ class Scorer:
 
     def __call__(self, texts) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
         """The score and the offending spans of each text (UTF-8)."""
-        e, lengths = self.known([(t or b"").lower() for t in texts])
-        p, _ = Chain(lengths).marginals(e[:, 0], self.model.trans, self.model.first)
-        z = evidence(p, lengths) @ self.model.calibration
-        ends = np.cumsum(lengths)
-        spans: list[list[tuple[int, int]]] = []
-        for text, n, end in zip(texts, lengths, ends):
-            own = p[end - n : end] > 0.5
-            spans.append(offending(text.decode("utf-8", "replace"), own) if own.any() else [])
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30))), spans
+        lowered, scores, spans = [(t or b"").lower() for t in texts], [np.zeros(0)], []
+        raws = iter(texts)
+        for e, lengths in self.known(lowered):
+            p, _ = Chain(lengths).marginals(e[:, 0], self.model.trans, self.model.first)
+            z = evidence(p, lengths) @ self.model.calibration
+            scores.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            for n, end, text in zip(lengths, np.cumsum(lengths), raws):
+                own = p[end - n : end] > 0.5
+                spans.append(offending(text.decode("utf-8", "replace"), own) if own.any() else [])
+        return np.concatenate(scores), spans
 
 
 def offending(text: str, flags: np.ndarray) -> list[tuple[int, int]]:
@@ -294,7 +294,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     classes = {r.toxic: r["count"] for r in pairs.groupBy("toxic").count().collect()}
     texts, ys, scale = [], [], []
     for toxic in (0, 1):
-        own = bounded_sample(pairs.filter(F.col("toxic") == toxic).select("doc_id", "text"), SAMPLE).collect()
+        own = sorted(bounded_sample(pairs.filter(F.col("toxic") == toxic).select("doc_id", "text"), SAMPLE).collect())
         texts += [r.text for r in own]
         ys += [toxic] * len(own)
         scale += [classes.get(toxic, 0) / max(1, len(own))] * len(own)

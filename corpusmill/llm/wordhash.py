@@ -1,8 +1,10 @@
 """Words of UTF-8 texts as 64-bit hashes, and a bounded table from hash to row, both in whole arrays.
 
-A word's hash is the sum of a random value per byte times an odd power for its place, taken from one running
-sum over the buffer, so words cost no Python objects. The random values are drawn anew in each worker: two
-of a million remembered words share a hash with a chance below one in ten million."""
+A word's hash is the sum over its bytes of a random value for the byte times a random odd factor for the place,
+taken from one running sum over the buffer, so words cost no Python objects. A second, independent sum stands
+for the word itself: where a hash is met again with another second sum, two words share it, and all hashes are
+drawn anew. So two words pass for one only if both sums agree, with a chance below 2^-100 for any two words
+whatever they are, as factors aren't powers of one another. Results don't depend on the draws."""
 
 from __future__ import annotations
 
@@ -17,56 +19,64 @@ BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
+class Clash(Exception):
+    """Two words share a hash."""
+
+
 class Hasher:
     def __init__(self):
-        rng = np.random.default_rng()
-        self.values = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.values[BLANK] = 0
-        self.base = int(rng.integers(1 << 40, 1 << 62)) * 8 + 3
-        self.powers = self.inverses = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            n = max(n, BUFFER + 1)
-            self.powers = self._geometric(self.base % (1 << 64), n)
-            self.inverses = self._geometric(pow(self.base, -1, 1 << 64), n)
-
-    @staticmethod
-    def _geometric(factor: int, n: int) -> np.ndarray:
-        out = np.full(n + 1, factor, np.uint64)
-        out[0] = 1
-        return np.cumprod(out, dtype=np.uint64)
-
-    def __call__(self, buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(starts, ends, hashes) of the words of a buffer that begins and ends with a blank."""
-        self._grow(len(buffer))
+        self.rng = np.random.default_rng()
+        self.values = self._odd(2, 256)
+        self.values[:, BLANK] = 0
+        self.factors = self._odd(2, 64)
+
+    def _odd(self, *shape: int) -> np.ndarray:
+        return self.rng.integers(0, 1 << 63, shape, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def __call__(self, buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, hashes, second sums) of the words of a buffer that begins and ends with a blank."""
         raw = np.frombuffer(buffer, np.uint8)
         turn = np.flatnonzero(np.diff(BLANK[raw])) + 1
         starts, ends = turn[::2], turn[1::2]
-        total = np.cumsum(self.values[raw] * self.powers[: len(raw)], dtype=np.uint64)
-        return starts, ends, (total[ends - 1] - total[starts - 1]) * self.inverses[starts]
+        if not len(starts):
+            return starts, ends, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        # The place of each byte in its word; what follows a word up to the next one has value 0.
+        sizes = np.diff(np.append(starts, len(raw)))
+        place = np.arange(starts[0], len(raw)) - np.repeat(starts, sizes)
+        if (longest := int((ends - starts).max())) > self.factors.shape[1]:
+            self.factors = np.concatenate([self.factors, self._odd(2, longest)], axis=1)
+        place = np.minimum(place, self.factors.shape[1] - 1)
+        own, first, last = raw[starts[0] :], starts - starts[0], ends - starts[0]
+        out = []
+        for values, factors in zip(self.values, self.factors):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[own] * factors[place], dtype=np.uint64)])
+            out.append(total[last] - total[first])
+        return starts, ends, out[0], out[1]
 
 
 class HashTable:
-    """Sorted hashes with a row each."""
+    """Sorted hashes with a second sum and a row each."""
 
     def __init__(self):
-        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.keys, self.seconds, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def __len__(self) -> int:
         return len(self.keys)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
+    def find(self, keys: np.ndarray, seconds: np.ndarray) -> np.ndarray:
         """The row of each key, or -1."""
         if not len(self.keys):
             return np.full(len(keys), -1)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.rows[at], -1)
+        known = self.keys[at] == keys
+        if (self.seconds[at] != seconds)[known].any():
+            raise Clash
+        return np.where(known, self.rows[at], -1)
 
-    def add(self, keys: np.ndarray, rows: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, seconds: np.ndarray, rows: np.ndarray) -> None:
         """keys: sorted, none of them there yet."""
         at = np.searchsorted(self.keys, keys)
-        self.keys, self.rows = np.insert(self.keys, at, keys), np.insert(self.rows, at, rows)
+        self.keys, self.seconds, self.rows = np.insert(self.keys, at, keys), np.insert(self.seconds, at, seconds), np.insert(self.rows, at, rows)
 
 
 class Growing:
@@ -98,7 +108,12 @@ class Words(ABC):
     which is asked before a word is worked out again. Subclasses hold a row for each word."""
 
     def __init__(self, kept: int):
-        self.kept, self.hasher = kept, Hasher()
+        self.kept = kept
+        self.start()
+
+    def start(self) -> None:
+        """Forget all words and draw the hashes."""
+        self.hasher = Hasher()
         self.old: tuple | None = None
         self.table = HashTable()
         self.clear()
@@ -112,15 +127,18 @@ class Words(ABC):
         """The rows, as carry() takes them."""
 
     @abstractmethod
-    def carry(self, keys: np.ndarray, places: np.ndarray, *rows: np.ndarray) -> None:
+    def carry(self, keys: np.ndarray, seconds: np.ndarray, places: np.ndarray, *rows: np.ndarray) -> None:
         """Keep the rows at places of an old generation under keys."""
 
     @abstractmethod
-    def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+    def learn(self, keys: np.ndarray, seconds: np.ndarray, words: list[bytes]) -> None:
         """Work out and keep the rows of new words."""
 
-    def register(self, keys: np.ndarray, first: int) -> None:
-        self.table.add(keys, first + np.arange(len(keys)))
+    def full(self) -> bool:
+        return len(self.table) > self.kept
+
+    def register(self, keys: np.ndarray, seconds: np.ndarray, first: int) -> None:
+        self.table.add(keys, seconds, first + np.arange(len(keys)))
 
     def parts(self, raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For texts of about BUFFER bytes at a time, or a single longer one: the row of each word, and where
@@ -131,31 +149,38 @@ class Words(ABC):
             stop = max(part + 1, int(np.searchsorted(sizes, (sizes[part - 1] if part else 0) + BUFFER)))
             own = raws[part:stop]
             part = stop
-            if len(self.table) > self.kept:
+            if self.full():
                 self.old = (self.table, self.rows())
                 self.table = HashTable()
                 self.clear()
             buffer = b"\n" + b"\n".join(own) + b"\n"
-            starts, ends, hashes = self.hasher(buffer)
-            at = self._at(hashes, buffer, starts, ends)
+            while True:
+                starts, ends, hashes, seconds = self.hasher(buffer)
+                try:
+                    at = self._at(hashes, seconds, buffer, starts, ends)
+                    break
+                except Clash:
+                    self.start()
             yield at, np.searchsorted(starts, np.cumsum([1] + [len(r) + 1 for r in own]))
 
-    def _at(self, hashes: np.ndarray, buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        keys, inverse = np.unique(hashes, return_inverse=True)
-        row = self.table.find(keys)
+    def _at(self, hashes: np.ndarray, seconds: np.ndarray, buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        keys, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        second = seconds[where]
+        if (second[inverse] != seconds).any():
+            raise Clash
+        row = self.table.find(keys, second)
         new = np.flatnonzero(row < 0)
         if len(new):
             if self.old:
                 table, rows = self.old
-                place = table.find(keys[new])
-                self.carry(keys[new[place >= 0]], place[place >= 0], *rows)
+                place = table.find(keys[new], second[new])
+                own = new[place >= 0]
+                self.carry(keys[own], second[own], place[place >= 0], *rows)
                 new = new[place < 0]
-            where = np.zeros(len(keys), np.int64)
-            where[inverse] = np.arange(len(hashes))
-            where = where[new]
             if len(new):
-                self.learn(keys[new], [buffer[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())])
-            row = self.table.find(keys)
+                first = where[new]
+                self.learn(keys[new], second[new], [buffer[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
+            row = self.table.find(keys, second)
         return row[inverse]
 
 
@@ -172,25 +197,26 @@ class Rows(Words):
     def rows(self) -> tuple[np.ndarray, ...]:
         return (self.values.all,)
 
-    def keep(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.register(keys, self.values.n)
+    def keep(self, keys: np.ndarray, seconds: np.ndarray, values: np.ndarray) -> None:
+        self.register(keys, seconds, self.values.n)
         self.values.extend(values)
 
-    def carry(self, keys: np.ndarray, places: np.ndarray, *rows: np.ndarray) -> None:
-        self.keep(keys, rows[0][places])
+    def carry(self, keys: np.ndarray, seconds: np.ndarray, places: np.ndarray, *rows: np.ndarray) -> None:
+        self.keep(keys, seconds, rows[0][places])
 
-    def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
-        self.keep(keys, self.make(words))
+    def learn(self, keys: np.ndarray, seconds: np.ndarray, words: list[bytes]) -> None:
+        self.keep(keys, seconds, self.make(words))
 
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The rows of all words of all texts, and each text's number of words."""
-        found = [(self.values.all[at], np.diff(firsts)) for at, firsts in self.parts(texts)]
-        values = np.concatenate([v for v, _ in found]) if found else np.zeros((0, self.width))
-        return values, np.concatenate([c for _, c in found]) if found else np.zeros(0, np.int64)
+    def __call__(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For some texts at a time, in order: the rows of all their words, and each text's number of words."""
+        for at, firsts in self.parts(texts):
+            yield self.values.all[at], np.diff(firsts)
 
 
 def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The sum of each text's rows."""
-    total = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0)])
-    ends = np.cumsum(counts)
-    return total[ends] - total[ends - counts]
+    """The sum of each text's rows, which doesn't depend on the texts beside it."""
+    out = np.zeros((len(counts), values.shape[1]))
+    some = np.flatnonzero(counts)
+    if len(some):
+        out[some] = np.add.reduceat(values, (np.cumsum(counts) - counts)[some], axis=0)
+    return out
