@@ -5,8 +5,9 @@ past such a place, so the pre-tokens encode independently, and which vocabulary
 as one token. Those count one without running a merge; only other pre-tokens are merged, by the
 library, and their counts are kept in a bounded table.
 
-Defined cases: null text counts as empty (0 tokens, 0 bytes); very long texts are counted whole;
-repeated rows are counted alike; an empty table gives an empty result; further columns are ignored."""
+Defined cases: null text counts as empty (0 tokens, 0 bytes); a null doc_id is kept; very long texts are
+counted whole, one at a time; repeated rows, and rows of equal doc_id, are each counted; a text of just the
+limit isn't over it; an empty table gives an empty result; further columns are ignored."""
 
 from __future__ import annotations
 
@@ -21,8 +22,9 @@ from corpusmill.llm.common import workers
 
 #: Tokens beyond which a document is over the limit.
 LIMIT = 4096
-#: Pre-tokens whose counts a worker keeps; when there are more it starts again from the proved ones.
-KEPT = 400_000
+#: Pre-tokens whose counts a worker keeps; when there are more it starts again from the proved ones. Longer ones than
+#: KEPT_CHARS aren't kept, so that texts without blanks don't fill its memory.
+KEPT, KEPT_CHARS = 400_000, 64
 BLANK = "▁"
 
 
@@ -75,12 +77,18 @@ class Counter:
         return dict.fromkeys(self.proved, 1) | {"": 1}  # "": a single blank at the end
 
     def __call__(self, texts) -> list[int]:
-        split = [pretokens(t or "") for t in texts]
+        return [self.count(t or "") for t in texts]
+
+    def count(self, text: str) -> int:
+        words = pretokens(text)
         if len(self.known) > KEPT:
             self.known = self.fresh()
-        rest = list(set().union(*split) - self.known.keys())
-        self.known.update(zip(rest, map(len, self.sp.encode(rest, num_threads=1))))
-        return [sum(map(self.known.__getitem__, words)) for words in split]
+        rest = [w for w in set(words) if w not in self.known]
+        found = dict(zip(rest, map(len, self.sp.encode(rest, num_threads=1))))
+        self.known.update((w, n) for w, n in found.items() if len(w) <= KEPT_CHARS)
+        if all(len(w) <= KEPT_CHARS for w in rest):
+            return sum(map(self.known.__getitem__, words))
+        return sum(found[w] if w in found else self.known[w] for w in words)
 
 
 @lru_cache(maxsize=2)
