@@ -6,9 +6,10 @@ fewer differing bits some non-zero v is orthogonal to all of their vectors, so t
 exactly such bits and the pair shares its key: no pair within the radius is missed.
 
 Defined cases: null or wordless text has fingerprint zero and links like any other; fewer words than
-a shingle make one shingle of the whole sequence; repeated rows and exact copies share a fingerprint
-and so a component; a null doc_id takes part in linking but is never a component's id unless the
-component has no other; an empty table gives an empty result; further columns are ignored."""
+a shingle make one shingle of the whole sequence; very long texts count whole; a bit that just half of the
+hashes set is 0; repeated rows and exact copies share a fingerprint and so a component; a null doc_id takes
+part in linking but is never a component's id unless the component has no other; an empty table gives an
+empty result; further columns are ignored (drop_near_duplicates keeps them)."""
 
 from __future__ import annotations
 
@@ -24,6 +25,10 @@ SHINGLE = 3
 SEED = 42
 #: Rows of a bucket that are compared directly; larger buckets are first divided by equal bit fields.
 DIRECT = 2048
+#: Rows of a bucket from which on its fields are dealt out as buckets of their own.
+HOT = 20_000
+#: Hot buckets up to which their list is broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -130,9 +135,23 @@ def fingerprint_links(values: DataFrame, radius: int = RADIUS) -> DataFrame:
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(signed)])
     rows = values.select("fp", F.explode(keys).alias("x")).select("x.t", "x.k", "fp")
+    # A hot bucket isn't one task: its pairs within the radius share one of radius+1 fields of their bits, so each
+    # field's values are buckets, numbered from the tables on. Few buckets are hot, as each has more than HOT rows.
+    hot = materialize(rows.groupBy("t", "k").count().filter(F.col("count") > HOT).select("t", "k", F.lit(True).alias("hot")), "simhash-hot")
+    if n_hot := hot.count():
+        rows = _fields_dealt(rows, F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, len(masks), radius)
     return rows.repartition("t", "k").sortWithinPartitions("t", "k").mapInPandas(_bucket_edges(radius), "src long, dst long")
 
 
+def _fields_dealt(rows: DataFrame, hot: DataFrame, tables: int, radius: int) -> DataFrame:
+    """rows (t, k, fp), those of hot buckets (t, k, hot) once for each field of fp."""
+    step = -(-64 // (radius + 1))
+    fields = [F.shiftrightunsigned("fp", i * step).bitwiseAND(F.lit((1 << min(step, 64 - i * step)) - 1)) for i in range(radius + 1)]
+    dealt = F.array(*[F.struct((F.lit(tables) + F.col("t") * (radius + 1) + i).cast("int").alias("t"), F.xxhash64("k", f).alias("k")) for i, f in enumerate(fields)])
+    marked = rows.join(hot, ["t", "k"], "left").select("fp", F.explode(F.when(F.col("hot"), dealt).otherwise(F.array(F.struct("t", "k")))).alias("x"))
+    return marked.select("x.t", "x.k", "fp")
+
+
 def _components(prints: DataFrame, radius: int) -> DataFrame:
     """(fp, c) for every fingerprint of prints, c the same for those that links connect."""
     values = materialize(prints.select("fp").distinct(), "simhash-classes")
@@ -151,16 +170,19 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id (null last), ties by text."""
+    """docs with one row of each component: that of the smallest doc_id (null last), ties by a hash of the text. Rows
+    are told apart by their doc_id and that hash; only what goes, or is there more than once, meets them again."""
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h"))
     prints = materialize(with_fingerprints(docs.select("doc_id", "text")).select(key.alias("key"), "fp"), "simhash")
-    # Per fingerprint the first key and how many rows have it; then the first of each component.
-    counted = prints.groupBy("fp", "key").count().groupBy("fp").agg(F.min(F.struct("key", "count")).alias("first"))
-    best = counted.join(_components(prints, radius), "fp").groupBy("c").agg(F.min("first").alias("first"))
-    best = best.select("first.key.doc_id", F.col("first.key.h").alias("h"), F.col("first.count").alias("n"))
+    # Per fingerprint and key the rows there are; per component its first key.
+    counted = prints.groupBy("fp", "key").count()
+    classes = counted.groupBy("fp").agg(F.min("key").alias("first")).join(_components(prints, radius), "fp")
+    best = classes.groupBy("c").agg(F.min("first").alias("first"))
+    first = classes.select("fp", "c").join(best, "c").select("fp", "first")
+    judged = counted.join(first, "fp").select("key.doc_id", F.col("key.h").alias("h"), (F.col("key") == F.col("first")).alias("best"), "count")
+    apart = materialize(judged.filter("not best or count > 1"), "simhash-apart")
     named = packed(docs, "doc_id", "text").withColumn("h", F.xxhash64("text")).alias("x")
     on = F.expr("x.doc_id <=> b.doc_id and x.h = b.h")
-    kept = named.join(best.alias("b"), on).select("x.d", "x.doc_id", "x.text", "b.n")
-    single = kept.filter("n = 1").select("d")
-    repeated = kept.filter("n > 1").dropDuplicates(["doc_id", "text"]).select("d")
-    return unpacked(single.union(repeated), docs.columns)
+    kept = named.join(apart.alias("b"), on, "left_anti").select("d")
+    repeated = named.join(apart.filter("best").alias("b"), on, "left_semi").dropDuplicates(["doc_id", "h"]).select("d")
+    return unpacked(kept.union(repeated), docs.columns)
