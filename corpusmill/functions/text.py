@@ -39,6 +39,10 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
 
 
+# The optimizer copies deterministic expressions into the null filters of joins, where the function would run again.
+_nfkc = _nfkc.asNondeterministic()
+
+
 def normalize(text: Column) -> Column:
     """NFKC, then white space collapsed. A conditional doesn't keep rows from a Python function, so texts in
     ASCII, which NFKC leaves as they are, go there as nulls."""
@@ -53,6 +57,52 @@ def has_control(text: Column, tokens: Sequence[str] = CONTROL_TOKENS) -> Column:
     return text.rlike("|".join("\\Q" + t + "\\E" for t in tokens))
 
 
+def escape_control(text: Column, tokens: Sequence[str] = CONTROL_TOKENS, instead: str = "[control token]", empty: str = "[empty response]") -> Column:
+    """text with control strings replaced, and a text of nothing named."""
+    out = F.when(F.coalesce(text, F.lit("")) == "", empty).otherwise(text)
+    for t in tokens:
+        out = F.replace(out, F.lit(t), F.lit(instead))
+    return out
+
+
+def same_folded(a: Column, b: Column) -> Column:
+    """Equality without case, for texts in ASCII."""
+    return F.lower(a) == F.lower(b)
+
+
+def capitalized(word: Column) -> Column:
+    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, F.lit(2), F.length(word))))
+
+
+#: What identifiers, digests and versions look like.
+IDENTIFIER, SHA256, VERSION = "[a-z0-9][a-z0-9._-]*", "[0-9a-f]{64}", "[0-9]+\\.[0-9]+(\\.[0-9]+)?"
+
+
+def full_match(text: Column, pattern: str) -> Column:
+    """Whether the whole text matches; null doesn't."""
+    return F.coalesce(text.rlike(f"\\A(?:{pattern})\\z"), F.lit(False))
+
+
+def dotted(record: Column, path: str) -> Column:
+    """A string at a dotted path of JSON, or null; of numbers and booleans their text."""
+    return F.get_json_object(record, "$." + path)
+
+
+def merged(first: Column, second: Column) -> Column:
+    """Two maps as one; of a key in both the second's value."""
+    kept = F.map_filter(first, lambda k, _: ~F.array_contains(F.map_keys(second), k))
+    return F.map_concat(kept, second)
+
+
+def utc_seconds(at: Column) -> Column:
+    """ISO time in seconds of a timestamp, in UTC where the session is."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def run_stamp(at: Column) -> Column:
+    return F.date_format(at, "yyyyMMdd'T'HHmmss'Z'")
+
+
 def excerpt(text: Column, start: Column, length: Column, limit: int) -> Column:
     """At most limit characters of text around the length characters from start (0-based) on."""
     size = F.length(text)
@@ -63,7 +113,8 @@ def excerpt(text: Column, start: Column, length: Column, limit: int) -> Column:
 
 
 def repeated_share(tokens: Column, n: int = 3) -> Column:
-    """The share of n-grams of an array that repeat an earlier one; 0 without n-grams."""
+    """The share of n-grams of an array that repeat an earlier one; 0 without n-grams. The n-grams are compared as
+    strings, which are hashed (arrays of arrays are compared pair by pair); tokens hold no NUL."""
     count = F.size(tokens) - (n - 1)
-    grams = F.transform(F.sequence(F.lit(1), count), lambda i: F.slice(tokens, i, n))
+    grams = F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(tokens, i, n), "\0", ""))
     return F.when(count > 0, (count - F.size(F.array_distinct(grams))) / count).otherwise(F.lit(0.0))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import bound, clean, collapse
+from corpusmill.functions.text import bound, clean, normalize
 from corpusmill.operators.ordering import BUCKET, first_wins, placed
+from corpusmill.operators.records import chat_problem
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Most messages of a chain from the root to a leaf.
@@ -31,7 +34,10 @@ def supervised_length(messages: Column) -> Column:
 
 
 def dialogue_identity(messages: Column) -> Column:
-    return F.sha2(F.to_json(F.transform(messages, lambda m: F.struct(collapse(m.content).alias("content"), m.role.alias("role")))), 256)
+    """A digest of roles and normalized contents. A Python function can't run inside an array, so the whole dialogue is
+    normalized at once, its parts apart by marks, around which blanks go."""
+    body = F.array_join(F.transform(messages, lambda m: F.concat(m.role, F.lit("\0"), F.coalesce(m.content, F.lit("")))), "\x01")
+    return F.sha2(F.regexp_replace(F.concat(normalize(body), F.lit("\x01")), " ?([\\x00\\x01]) ?", "$1"), 256)
 
 
 def selected(chats: DataFrame, order: str, most: int, problem: Column) -> tuple[DataFrame, DataFrame]:
@@ -95,5 +101,43 @@ def preference_pairs(responses: DataFrame, by: list[str], order: str) -> DataFra
     return good.join(bad, [*by, "rank"]).filter(clean(F.col("chosen")) != clean(F.col("rejected")))
 
 
-def message_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("conv_id", "turn", "role", "text")
+def selected_sources(sources: dict[str, DataFrame], most: int, length: Column, control: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chats of several sources (id, language, messages, synthetic) by name: (kept, counters, counts). Synthetic ones,
+    those that break the grammar, end without an answer or are longer than most are rejected, never cut; of equal
+    normalized dialogues the one of the smallest id stays, whatever its source. counts: rows per source and language,
+    sources without any left out."""
+    every = reduce(DataFrame.unionByName, [df.withColumn("source", F.lit(name)) for name, df in sources.items()])
+    last = F.get("messages", F.size("messages") - 1).role
+    fit = chat_problem(F.col("messages"), control).isNull() & (last == "assistant") & (length <= most) & ~F.coalesce("synthetic", F.lit(False))
+    judged = every.withColumn("__ok", F.coalesce(fit, F.lit(False)))
+    good = judged.filter("__ok").drop("__ok").withColumn("identity", dialogue_identity(F.col("messages")))
+    kept = first_wins(good, ["identity"], "id")
+    counters = judged.agg(F.count("*").alias("candidates"), F.count_if(~F.col("__ok")).alias("rejected")).crossJoin(kept.agg(F.count("*").alias("kept")))
+    return kept, counters.withColumn("duplicates", F.expr("candidates - rejected - kept")), kept.groupBy("source", "language").agg(F.count("*").alias("records"))
+
+
+def protocol_errors(records: DataFrame, declared: DataFrame, languages: list[str], size: Column, most: int, control: Column) -> DataFrame:
+    """(split, id, error) of records (split, id, source_id, language, messages, transform, uri, synthetic), the first
+    rule that each breaks: its source's prefix is one of declared (source, transform, uri, excluded) and says the same,
+    its language is allowed, it is a chat of at most most tokens that ends with an answer, isn't synthetic, and no
+    earlier record has the same normalized dialogue. declared is a recipe's list."""
+    parts = F.split("source_id", ":", 2)
+    prefixed = records.withColumn("source", F.get(parts, 0)).withColumn("__rest", F.get(parts, 1)).withColumn("__identity", dialogue_identity(F.col("messages")))
+    named = prefixed.join(F.broadcast(declared.withColumnsRenamed({"transform": "__transform", "uri": "__uri"})), "source", "left")
+    first = prefixed.groupBy("__identity").agg(F.min(F.struct("split", "id")).alias("__first"))
+    joined = named.join(first, "__identity")
+    last = F.get("messages", F.size("messages") - 1).role
+    error = (
+        F.when(~F.coalesce(F.col("language").isin(languages), F.lit(False)), "language")
+        .when(F.coalesce(F.col("__rest"), F.lit("")) == "", "source_id has no prefix")
+        .when(F.col("__transform").isNull(), "source isn't declared")
+        .when(~F.col("transform").eqNullSafe(F.col("__transform")), "transform differs")
+        .when(~F.col("uri").eqNullSafe(F.col("__uri")), "uri differs")
+        .when(chat_problem(F.col("messages"), control).isNotNull(), F.concat(F.lit("chat: "), chat_problem(F.col("messages"), control)))
+        .when(F.coalesce(last != "assistant", F.lit(True)), "ends without answer")
+        .when(size > most, "too long")
+        .when(F.struct("split", "id") != F.col("__first"), "repeated dialogue")
+        .when(F.coalesce("synthetic", F.lit(False)), "synthetic")
+        .when(F.coalesce("excluded", F.lit(False)), "excluded source")
+    )
+    return joined.select("split", "id", error.alias("error")).filter("error is not null")

@@ -39,11 +39,17 @@ def pair_issues() -> Column:
     return F.concat(required(["prompt", "chosen", "rejected"]), F.array_compact(F.array(same)))
 
 
+def metadata_issues(metadata: Column) -> Column:
+    """metadata is JSON text: an object, or null where there is none."""
+    wrong = metadata.isNotNull() & ~F.coalesce(F.schema_of_variant(F.try_parse_json(metadata)).startswith("OBJECT"), F.lit(False))
+    return F.array_compact(F.array(F.when(wrong, issue("metadata", "invalid_metadata"))))
+
+
 VALIDATORS = {
     "pretrain": lambda: required(["id", "text", "source"]),
     "sft": lambda: F.concat(required(["id"]), message_issues(F.col("messages"))),
     "dpo": lambda: F.concat(required(["id"]), pair_issues()),
-    "grpo": lambda: required(["id", "prompt", "answer"]),
+    "grpo": lambda: F.concat(required(["id", "prompt", "answer"]), metadata_issues(F.col("metadata"))),
 }
 
 

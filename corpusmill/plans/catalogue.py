@@ -2,60 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import ident, schedule, text
 from corpusmill.operators import chats, contamination, evaluation, gates, ordering, records, sampling, splits, transforms, windows
+from corpusmill.plans.entries import CODES, ENTRIES, NORMAL, SIZE, SPLIT, WS, Entry, collapse, query, score, split_sql, strip, table
 from corpusmill.streaming import metrics
 
-WS = text.WS
-SIZE = 512
-CODES = {"en": 0, "de": 1, "fr": 2, "es": 3}
-
-
-@dataclass(frozen=True)
-class Entry:
-    query: Callable[[SparkSession, str], DataFrame]
-    sql: str | None
-
-
-ENTRIES: dict[str, Entry] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        ENTRIES[f.__name__] = Entry(f, sql)
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def collapse(column: str) -> str:
-    return f"trim(regexp_replace({column}, '{WS}+', ' ', 'g'))"
-
-
-def strip(column: str) -> str:
-    return f"regexp_replace(regexp_replace({column}, '^{WS}+', ''), '{WS}+$', '')"
-
-
-def score(seed: int, group: str) -> str:
-    return f"(('0x' || substr(sha256('{seed}' || chr(0) || {group}), 1, 16))::ubigint::double / 18446744073709551616)"
-
-
-def split_sql(group: str, seed: int = 42) -> str:
-    return f"case when {score(seed, group)} < 0.8::double then 'train' when {score(seed, group)} < 0.8::double + 0.1::double then 'dev' else 'test' end"
-
-
-NORMAL = f"select doc_id, lang, source, n_chars, {collapse('text')} as body, text from documents"
-SPLIT = split_sql("doc_id::varchar")
+__all__ = ["ENTRIES", "Entry"]
 
 # --- splits ---------------------------------------------------------------------------------------------
 
@@ -95,18 +50,27 @@ def validate_documents(spark, sf_dir):
     return found.groupBy("i.field", "i.code").agg(F.count("*").alias("n"))
 
 
-@query("""with m as (select conv_id, turn - min(turn) over (partition by conv_id) as i, role, text from conversations),
-per as (select conv_id, count_if(role = 'assistant') as a, count_if(i % 2 = 1 and role = 'user') as misplaced from m group by conv_id)
-select 'missing_assistant' as code, count(*) as n from per where a = 0 having count(*) > 0
-union all select 'user_at_odd_turn', count(*) from per where misplaced > 0 having count(*) > 0
-union all select 'answers', sum(a)::bigint from per""")
+#: Turns some of which break a rule: an unknown role, no content, a control token.
+BROKEN = """select conv_id, turn, case when conv_id % 17 = 2 and turn % 4 = 1 then 'tool' else role end as role, case when conv_id % 13 = 1 and turn % 3 = 0 then '' when conv_id % 11 = 3 and turn % 2 = 0 then text || '<|im_end|>' else text end as text from conversations"""
+
+
+def _broken(spark, sf_dir):
+    conv, turn = F.col("conv_id"), F.col("turn")
+    role = F.when((conv % 17 == 2) & (turn % 4 == 1), "tool").otherwise(F.col("role"))
+    said = F.when((conv % 13 == 1) & (turn % 3 == 0), "").when((conv % 11 == 3) & (turn % 2 == 0), F.concat("text", F.lit("<|im_end|>"))).otherwise(F.col("text"))
+    return chats.conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", role.alias("role"), said.alias("text")))
+
+
+def _control(messages: str = "messages"):
+    return F.exists(messages, lambda m: text.has_control(m.content))
+
+
+@query(f"""with b as ({BROKEN}), m as (select *, row_number() over (partition by conv_id order by turn) - 1 as i from b)
+select conv_id as line, 'messages[' || i || '].role' as field, 'invalid_role' as code from m where role not in ('system', 'user', 'assistant') union all select conv_id, 'messages[' || i || '].content', 'empty_content' from m where text = ''
+union all select conv_id, 'messages', 'missing_assistant' from m group by conv_id having count_if(role = 'assistant') = 0""")
 def validate_conversations(spark, sf_dir):
-    chat = chats.conversations(table(spark, sf_dir, "conversations")).select(F.col("conv_id").alias("line"), F.col("conv_id").cast("string").alias("id"), "messages")
-    missing = records.issues(chat, "sft").filter("code = 'missing_assistant'").groupBy("code").agg(F.count("*").alias("n"))
-    odd = F.exists(F.transform("messages", lambda m, i: (i % 2 == 1) & (m.role == "user")), lambda x: x)
-    placed = chat.filter(odd).groupBy(F.lit("user_at_odd_turn").alias("code")).agg(F.count("*").alias("n"))
-    answers = chat.agg(F.sum(F.size(F.filter("messages", lambda m: m.role == "assistant"))).alias("n")).select(F.lit("answers").alias("code"), "n")
-    return missing.unionByName(placed).unionByName(answers)
+    chat = _broken(spark, sf_dir).select(F.col("conv_id").alias("line"), F.col("conv_id").cast("string").alias("id"), "messages")
+    return records.issues(chat, "sft").select("line", "field", "code")
 
 
 @query("select event_id as line, user_id as id, first_line from (select event_id, user_id, min(event_id) over (partition by user_id) as first_line from events) where event_id > first_line")
@@ -187,22 +151,19 @@ def chat_render(spark, sf_dir):
     return chat.select("conv_id", F.sha2(body, 256).alias("digest"), F.length(body).cast("long").alias("chars"))
 
 
-@query("""with s as (select conv_id, turn, role, case when first(role order by turn) over (partition by conv_id order by turn rows between unbounded preceding and unbounded following) = 'system' then 1 else 0 end as shift,
-row_number() over (partition by conv_id order by turn) - 1 as i, text from conversations)
-select conv_id, bool_or(i >= shift and role <> (case when (i - shift) % 2 = 0 then 'user' else 'assistant' end)) as misordered from s group by conv_id""")
+@query(f"""with b as ({BROKEN}), s as (select *, case when first(role order by turn) over (partition by conv_id order by turn rows between unbounded preceding and unbounded following) = 'system' then 1 else 0 end as shift, row_number() over (partition by conv_id order by turn) - 1 as i from b)
+select conv_id, case when bool_or(role not in ('system', 'user', 'assistant')) then 'role' when bool_or(text = '') then 'content' when bool_or(contains(text, '<|im_end|>')) then 'control' when bool_or(i >= shift and role <> (case when (i - shift) % 2 = 0 then 'user' else 'assistant' end)) then 'order' end as problem from s group by conv_id""")
 def chat_grammar(spark, sf_dir):
-    chat = chats.conversations(table(spark, sf_dir, "conversations"))
-    problem = records.chat_problem(F.col("messages"), F.lit(False))
-    return chat.select("conv_id", F.coalesce(problem == "order", F.lit(False)).alias("misordered"))
+    return _broken(spark, sf_dir).select("conv_id", records.chat_problem(F.col("messages"), _control()).alias("problem"))
 
 
-@query(f"""with c as (select conv_id, {RENDERED} as body, string_agg(role || chr(0) || {collapse('text')}, chr(0) order by turn) as identity from conversations group by conv_id),
-f as (select *, length(body) <= 4000 as ok from c)
+@query(f"""with b as ({BROKEN}), s as (select *, case when first(role order by turn) over (partition by conv_id order by turn rows between unbounded preceding and unbounded following) = 'system' then 1 else 0 end as shift, row_number() over (partition by conv_id order by turn) - 1 as i from b),
+c as (select conv_id, {RENDERED} as body, string_agg(role || chr(0) || {collapse('text')}, chr(0) order by turn) as identity, bool_or(text = '' or contains(text, '<|im_end|>') or role = 'tool' or (i >= shift and role <> (case when (i - shift) % 2 = 0 then 'user' else 'assistant' end))) as bad from s group by conv_id),
+f as (select *, length(body) <= 4000 and not bad as ok from c)
 select count(*) as candidates, count_if(not ok) as rejected, count(distinct case when ok then identity end) as kept, count_if(ok) - count(distinct case when ok then identity end) as duplicates from f""")
 def sft_selection_counters(spark, sf_dir):
-    chat = chats.conversations(table(spark, sf_dir, "conversations"))
-    problem = records.chat_problem(F.col("messages"), F.lit(False))
-    return chats.selected(chat, "conv_id", 4000, problem)[1]
+    problem = records.chat_problem(F.col("messages"), _control())
+    return chats.selected(_broken(spark, sf_dir), "conv_id", 4000, problem)[1]
 
 
 @query("select conv_id, sum(case when role = 'assistant' then length(text) + 1 else 0 end)::bigint as supervised, sum(length(text) + length(role) + 24)::bigint as tokens from conversations group by conv_id")
@@ -620,12 +581,16 @@ def language_loss_buckets(spark, sf_dir):
     return evaluation.loss_rollup(_log(spark, sf_dir), "event_type")
 
 
-@query(f"select true as consistent, round(sum(loss * tokens) / sum(tokens), 6) as loss from ({LOG})")
+@query(f"""with p as (select event_type, sum(loss * tokens) as nll, sum(tokens) as tokens from ({LOG}) group by event_type), t as (select sum(nll) / sum(tokens) as loss, sum(nll / tokens * tokens) / sum(tokens) as again, sum(case when event_type = 'view' then nll / 2 else nll end) / sum(tokens) as bad from p)
+select name, isfinite(parts) and abs(loss - parts) <= greatest(1e-6::double * greatest(abs(loss), abs(parts)), 1e-6::double) as consistent, round(loss, 6) as loss from (select 'as recorded' as name, loss, again as parts from t union all select 'a language halved', loss, bad from t)""")
 def loss_consistency(spark, sf_dir):
     per = _log(spark, sf_dir).groupBy("event_type").agg(F.sum(F.col("loss") * F.col("tokens")).alias("nll"), F.sum("tokens").alias("tokens"))
-    parts = per.withColumn("mean", F.col("nll") / F.col("tokens")).agg(F.sum("nll").alias("nll"), F.sum("tokens").alias("tokens"), F.sum(F.col("mean") * F.col("tokens")).alias("again"))
+    halved = F.when(F.col("event_type") == "view", F.col("nll") / 2).otherwise(F.col("nll"))
+    means = per.withColumn("mean", F.col("nll") / F.col("tokens"))
+    sums = means.agg(F.sum("nll").alias("nll"), F.sum("tokens").alias("tokens"), F.sum(F.col("mean") * F.col("tokens")).alias("again"), F.sum(halved).alias("bad"))
     loss = F.col("nll") / F.col("tokens")
-    return parts.select(evaluation.consistent(loss, F.col("again") / F.col("tokens")).alias("consistent"), F.round(loss, 6).alias("loss"))
+    cases = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), (F.col(c) / F.col("tokens")).alias("parts")) for n, c in (("as recorded", "again"), ("a language halved", "bad"))]))
+    return sums.select(loss.alias("loss"), cases.alias("c")).select("c.name", evaluation.consistent(F.col("loss"), F.col("c.parts")).alias("consistent"), F.round("loss", 6).alias("loss"))
 
 
 @query(f"""with v as (select event_type as name, loss as value, (user_id % 3)::double as baseline from ({LOG}) where event_type <> 'signup')
@@ -657,7 +622,8 @@ def score_exact(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", evaluation.exact_score(F.col("props"), answer).alias("score"))
 
 
-@query(None)
+#: props are objects of one integer, of which the strict parser and SQL's see the same; hand cases are in the tests.
+@query("""select event_id, (json_type(props) = 'OBJECT' and len(json_keys(props)) = 1 and json_type(props, '$.k') in ('UBIGINT', 'BIGINT') and (props::json ->> 'k') = user_id::varchar)::integer::double as score from events""")
 def score_json(spark, sf_dir):
     answer = F.concat(F.lit('{"k":'), F.col("user_id").cast("string"), F.lit("}"))
     return table(spark, sf_dir, "events").select("event_id", evaluation.json_score("props", answer).alias("score"))

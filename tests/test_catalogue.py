@@ -3,7 +3,7 @@
 import pytest
 from compare import connection, differences
 
-from corpusmill.plans.catalogue import ENTRIES
+from corpusmill.plans import ENTRIES
 
 
 @pytest.mark.parametrize("name", sorted(ENTRIES))
