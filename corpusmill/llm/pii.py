@@ -41,11 +41,12 @@ CARD = "(?<![0-9])(?<![0-9][\\x20-])[0-9](?:[\\x20-]?[0-9]){15,18}(?![\\x20-]?[0
 PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 
-#: Generators of candidates by kind: numbers whose groups are kept together, over blanks and without them, and
-#: addresses with or without their signs spelt out.
+#: Generators of candidates by kind: numbers whose groups are kept together, over blanks and without them, or are three
+#: as telephone numbers have, and addresses with or without their signs spelt out.
 GENERATORS = (
     ("number", "\\+?\\(?[0-9][0-9().\\x20-]{5,}[0-9]"),
     ("number", "\\+?\\(?[0-9][0-9().-]{5,}[0-9]"),
+    ("number", "(?:\\+[0-9]{1,3}[\\x20.-]?)?\\(?[0-9]{2,4}\\)?[\\x20.-][0-9]{3,4}[\\x20.-][0-9]{3,4}(?![0-9])"),
     ("address", "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@|\\x20?[(\\[]at[)\\]]\\x20?|\\x20at\\x20)[A-Za-z0-9-]++(?:\\.|\\x20?[(\\[]dot[)\\]]\\x20?|\\x20dot\\x20)[A-Za-z]{2,24}"),
 )
 ADDED = ("number", "address")

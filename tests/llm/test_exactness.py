@@ -353,3 +353,16 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     labels.limit(0).write.parquet(f"{tmp_path}/empty/labels.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
 
+
+
+# --- quality --------------------------------------------------------------------------------------------
+
+
+def test_quality_of_odd_rows(spark):
+    from corpusmill.llm import quality
+
+    rows = [(None, None, "x"), (None, "a b", "x"), (3, "a b", "x"), (3, "a b", "x"), (4, "long " * 60_000, "x"), (5, "\n\n \n", "x")]
+    docs = spark.createDataFrame(rows, SCHEMA + ", n_words string")
+    got = sorted((r.doc_id or -1, r.n_words, r.n_repeat_words, r.kept) for r in quality.quality_report(docs).collect())
+    assert got == [(-1, 0, 0, False), (-1, 2, 0, False), (3, 2, 0, False), (3, 2, 0, False), (4, 60_000, 60_000, False), (5, 0, 0, False)]
+    assert quality.quality_filter(docs).columns == docs.columns
