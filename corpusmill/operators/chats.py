@@ -51,15 +51,16 @@ def selected(chats: DataFrame, order: str, most: int, problem: Column) -> tuple[
 
 def chains(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(id, path) from each leaf of nodes (id, parent) to its root. Chains longer than depth, dangling
-    parents and cycles give none. A join per level, of which there are at most depth."""
+    parents and cycles give none. A join per level, of which there are at most depth, each computed once: rows that
+    have reached their root go on as they are (adaptive execution splits their share of a join)."""
     parents = nodes.select(F.col("parent").alias("id")).filter("id is not null").distinct()
     live = nodes.join(parents, "id", "left_anti").select("id", F.col("parent").alias("at"), F.array("id").alias("path"))
-    done = live.filter("at is null").select("id", "path")
-    up = nodes.select(F.col("id").alias("at"), F.col("parent").alias("next"))
+    up = nodes.select(F.col("id").alias("at"), F.col("parent").alias("next"), F.lit(True).alias("there"))
     for _ in range(depth - 1):
-        live = live.filter("at is not null").join(up, "at").select("id", F.col("next").alias("at"), F.concat(F.array("at"), "path").alias("path"))
-        done = done.union(live.filter("at is null").select("id", "path"))
-    return done
+        joined = live.join(up, "at", "left").filter("at is null or there")
+        path = F.when(F.col("at").isNotNull(), F.concat(F.array("at"), "path")).otherwise(F.col("path"))
+        live = joined.select("id", F.col("next").alias("at"), path.alias("path"))
+    return live.filter("at is null").select("id", "path")
 
 
 def last_turn(transcript: Column, human: str = "\n\nHuman:", assistant: str = "\n\nAssistant:") -> Column:
