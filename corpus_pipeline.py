@@ -12,24 +12,32 @@ from corpusmill.session import ship
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below the threshold, whole rows as they came; null and wordless texts score
+    low and stay, repeated rows stay or go together, an empty table stays empty."""
     ship(spark)
     return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies: that of the smallest doc_id, null last. Rows that repeat in
+    doc_id and text become one; texts without words are copies of one another."""
     ship(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with each secret in a text replaced by a marker and n_chars brought in line; null texts stay null."""
     return secrets.redact(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, up to three times, dealt to shards in local order; sources with a
+    target below their size lose documents, null is a source of its own."""
     return mixing.mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences of 2048 tokens; a null or empty text is its separator alone."""
     ship(spark)
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
