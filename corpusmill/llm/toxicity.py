@@ -7,13 +7,14 @@ weights of its word and of its first 4 to 7 letters, and transitions tie neighbo
 marginals give each token's probability; their sum, maximum and density give the document's score by
 a logistic calibration, and runs of tokens above one half are the offending spans.
 
-Fitting uses a sample: SAMPLE labelled rows of each class, the first by hash, whole whatever their length.
+Fitting uses a sample: SAMPLE labelled rows of each class, the first by a hash of id and text, whole whatever
+their length; rows that repeat count once.
 Scoring covers every text whole.
 
 Defined cases: null or blank text has no tokens, no spans and the score of zero evidence; documents
 without a label (or a null doc_id) are scored, never learnt from; a doc_id that labels have twice is toxic
 if one of them says so; with no or one class of labels every score is 0; very long texts are scored whole, in
-lanes of LANE tokens, about 100 bytes each; a score of just the threshold counts as toxic; repeated rows score
+lanes, some 100 bytes a token; a score of just the threshold counts as toxic; repeated rows score
 alike; an empty table gives an empty result; further columns are ignored (reject_toxic keeps them)."""
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import WORD, workers, bounded_sample, packed, unpacked
+from corpusmill.llm.common import WORD, materialize, packed, unpacked, workers
 from corpusmill.llm.simhash import fingerprint
 from corpusmill.llm.wordhash import Rows
 
@@ -37,7 +38,7 @@ THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 SAMPLE = 1500
 #: Tokens of a block of documents that fitting passes over at once.
-BLOCK = 150_000
+BLOCK = 1_000_000
 #: Documents of the sample that a feature has to be in.
 MIN_DOCS = 4
 #: A token of a toxic document is labelled when a feature of it has such log odds of toxic to other
@@ -46,7 +47,7 @@ ODDS, DEVIATES = 2.0, 4.5
 STEMS = (4, 5, 6, 7)
 #: Differing bits of two fingerprints of near copies in the sample, at most.
 COPY_BITS = 10
-LANE = 256
+LANE, LONG = 64, 2048
 KEPT = 400_000
 STEPS = 40
 SPANS = "array<struct<start:int,end:int>>"
@@ -59,17 +60,19 @@ def features(chunk: str) -> list[str]:
 
 @dataclass
 class Chain:
-    """Tokens of several documents in lanes of LANE, for vector forward-backward passes."""
+    """Tokens of several documents in lanes of LANE (or LONG, where a document has very many), for vector
+    forward-backward passes: steps within lanes are taken for all lanes at once, steps between them one by one."""
 
     lengths: np.ndarray  # of documents
 
     def __post_init__(self):
-        per = -(-self.lengths // LANE)
+        self.lane = LANE if self.lengths.max(initial=0) < LANE * LONG else LONG
+        per = -(-self.lengths // self.lane)
         self.n_lanes = int(per.sum())
         self.doc = np.repeat(np.arange(len(per)), per)
         self.nth = np.arange(self.n_lanes) - np.repeat(np.cumsum(per) - per, per)
-        self.size = np.minimum(LANE, self.lengths[self.doc] - self.nth * LANE)
-        self.mask = np.arange(LANE) < self.size[:, None]
+        self.size = np.minimum(self.lane, self.lengths[self.doc] - self.nth * self.lane)
+        self.mask = np.arange(self.lane) < self.size[:, None]
 
     def marginals(self, emission: np.ndarray, trans: np.ndarray, first: float, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """P(state 1) of each token and, if pairs, the expected transitions (2, 2) of all documents.
@@ -80,7 +83,7 @@ class Chain:
         if not self.n_lanes:
             return np.zeros(0), seen
         (t00, t01), (t10, t11) = np.exp(trans).tolist()
-        x, on = np.ones((self.n_lanes, LANE)), self.mask
+        x, on = np.ones((self.n_lanes, self.lane)), self.mask
         x[on] = np.exp(np.clip(emission, -30, 30))
         x, on, head = np.ascontiguousarray(x.T), np.ascontiguousarray(on.T), self.nth == 0
         heads, opening = np.flatnonzero(head), math.exp(first)
@@ -98,9 +101,9 @@ class Chain:
                 after, into = P[:, own + 1], end[:, own + 1]
                 v = np.stack([after[0] * into[0] + after[1] * into[1], after[2] * into[0] + after[3] * into[1]])
                 end[:, own] = v / v.sum(0)
-        forward = np.empty((LANE, self.n_lanes))
+        forward = np.empty((self.lane, self.n_lanes))
         a0, a1 = start
-        for t in range(LANE):
+        for t in range(self.lane):
             b0, b1 = a0 * t00 + a1 * t10, (a0 * t01 + a1 * t11) * x[t]
             if t == 0:
                 b0, b1 = np.where(head, 1.0, b0), np.where(head, opening * x[t], b1)
@@ -108,7 +111,7 @@ class Chain:
             a0 = 1 - a1
             forward[t] = a1
         b0, b1 = end
-        for t in range(LANE - 1, -1, -1):
+        for t in range(self.lane - 1, -1, -1):
             xb = x[t] * b1
             if pairs:
                 f1 = forward[t - 1] if t else start[1]
@@ -287,19 +290,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """A model from the sample of docs (doc_id, text) and labels (doc_id, toxic)."""
+    """A model from the sample of docs (doc_id, text) and labels (doc_id, toxic). Ids and hashes alone meet the labels;
+    texts are fetched for the sample, whose ids are few enough to go to every task."""
+    spark = docs.sparkSession
     known = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").filter(fold(F.col("doc_id")) != HELD_OUT)
-    pairs = rows.join(known, "doc_id")
-    classes = {r.toxic: r["count"] for r in pairs.groupBy("toxic").count().collect()}
-    texts, ys, scale = [], [], []
-    for toxic in (0, 1):
-        own = sorted(bounded_sample(pairs.filter(F.col("toxic") == toxic).select("doc_id", "text"), SAMPLE).collect())
-        texts += [r.text for r in own]
-        ys += [toxic] * len(own)
-        scale += [classes.get(toxic, 0) / max(1, len(own))] * len(own)
+    rows = docs.filter(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).filter(fold(F.col("doc_id")) != HELD_OUT)
+    pairs = materialize(rows.select("doc_id", "h").join(known, "doc_id").groupBy("doc_id", "h", "toxic").count(), "toxicity-labelled")
+    classes = {r.toxic: r.n for r in pairs.groupBy("toxic").agg(F.sum("count").alias("n")).collect()}
+    keys = [tuple(r) for toxic in (0, 1) for r in pairs.filter(F.col("toxic") == toxic).select("doc_id", "h", "toxic").orderBy("h", "doc_id").limit(SAMPLE).collect()]
+    if not keys:
+        return None
+    wanted = F.broadcast(spark.createDataFrame(keys, "doc_id long, h long, toxic int"))  # at most SAMPLE rows a class
+    found = sorted(rows.join(wanted, ["doc_id", "h"]).groupBy("toxic", "doc_id", "h").agg(F.first("text").alias("text")).collect())
+    ys = [r.toxic for r in found]
+    scale = [classes[y] / ys.count(y) for y in ys]
     least = min(scale, default=1.0)
-    return fit(texts, ys, [min(20.0, s / least) for s in scale])
+    return fit([r.text for r in found], ys, [min(20.0, s / least) for s in scale])
 
 
 def with_scores(docs: DataFrame, model: Model | None) -> DataFrame:
