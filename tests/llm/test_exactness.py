@@ -309,6 +309,18 @@ def test_entropy_equals_term_by_term(monkeypatch):
     assert (alone == h).all()  # no text's score depends on those beside it
 
 
+def test_joined_models_say_the_same(spark, monkeypatch):
+    rng = random.Random(7)
+    kinds = {"aa": ["ka", "lo", "mi"], "bb": ["sch", "ung", "er"], "cc": ["ção", "que", "os"]}
+    rows = [(i, " ".join("".join(rng.choices(kinds[k], k=rng.randint(1, 3))) for _ in range(9)), k) for i in range(90) for k in [rng.choice(list(kinds))]]
+    rows += [(None, "ka lo", "aa"), (901, None, "aa"), (902, "12 !!", "bb"), (903, "", None), (904, "zzyx \U0001d518", None), (5, rows[5][1], rows[5][2])]
+    docs = spark.createDataFrame(rows, SCHEMA + ", lang string")
+    get = lambda: sorted((str(r.doc_id), r.held_out, r.lang_pred, round(r.score, 9), r.rejected) for r in langid.language_report(docs).collect())
+    want = get()
+    monkeypatch.setattr(langid, "BROADCAST_GRAMS", 0)
+    assert get() == want and len(want) == len(rows)
+
+
 def test_ties_and_long_texts_of_languages(spark):
     rows = [(i, "kala maka", lang) for i in range(40) for lang in ("bb", "aa")] + [(100, "kala " * 60_000, None)]
     got = langid.language_report(spark.createDataFrame(rows, SCHEMA + ", lang string")).collect()
