@@ -464,13 +464,14 @@ def pack_language_strata(spark, sf_dir):
 
 # --- sampling -------------------------------------------------------------------------------------------
 
-WEIGHTS = {"de": 0.25, "en": 0.5, "fr": 0.25}
+WEIGHTS = {"de": 0.125, "en": 0.5, "es": 0.125, "fr": 0.25}
+WEIGHT = "(case lang when 'en' then 0.5::double when 'fr' then 0.25::double else 0.125::double end)"
+STRATUM = "(case lang when 'de' then 0 when 'en' then 1 when 'es' then 2 else 3 end)"
 
 
-@query("""select doc_id, lang, (coalesce(sum(n_chars) over (partition by lang order by sha256('7' || chr(0) || '0' || chr(0) || doc_id::varchar), doc_id rows between unbounded preceding and 1 preceding), 0)
-/ (case lang when 'en' then 0.5::double else 0.25::double end))::double as quota, (case lang when 'de' then 0 when 'en' then 1 else 2 end)::integer as stratum_index from documents where lang in ('de', 'en', 'fr')""")
+@query(f"""select doc_id, lang, (coalesce(sum(n_chars) over (partition by lang order by sha256('7' || chr(0) || '0' || chr(0) || doc_id::varchar), doc_id rows between unbounded preceding and 1 preceding), 0) / {WEIGHT})::double as quota, {STRATUM}::integer as stratum_index from documents""")
 def quota_sample_order(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").filter(F.col("lang").isin(*WEIGHTS))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     return sampling.quota_order(docs, "lang", "n_chars", "doc_id", WEIGHTS, 7).select("doc_id", "lang", "quota", "stratum_index")
 
 

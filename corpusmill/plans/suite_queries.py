@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text
 from corpusmill.operators import chats, contamination, records, sampling, splits, suite
-from corpusmill.plans.catalogue import HITS, WEIGHTS
+from corpusmill.plans.catalogue import HITS, STRATUM, WEIGHT, WEIGHTS
 from corpusmill.plans.entries import SPLIT, collapse, query, strip, table
 
 # --- records --------------------------------------------------------------------------------------------
@@ -171,24 +171,21 @@ def sampling_resolution(spark, sf_dir):
     return spark.createDataFrame(rows, "family string, weight double, mean_tokens double, epoch_tokens long")
 
 
-ORDERED = """select doc_id, n_chars, (coalesce(sum(n_chars) over (partition by lang order by sha256('7' || chr(0) || '0' || chr(0) || doc_id::varchar), doc_id rows between unbounded preceding and 1 preceding), 0) / (case lang when 'en' then 0.5::double else 0.25::double end))::double as quota,
-case lang when 'de' then 0 when 'en' then 1 else 2 end as stratum from documents where lang in ('de', 'en', 'fr')"""
+ORDERED = f"""select doc_id, n_chars, (coalesce(sum(n_chars) over (partition by lang order by sha256('7' || chr(0) || '0' || chr(0) || doc_id::varchar), doc_id rows between unbounded preceding and 1 preceding), 0) / {WEIGHT})::double as quota, {STRATUM} as stratum from documents"""
 
 
 @query(f"select count(*) as samples, sum(n_chars)::bigint as tokens from (select n_chars from ({ORDERED}) order by quota, stratum limit 120)")
 def predicted_tokens(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").filter(F.col("lang").isin(*WEIGHTS))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     return sampling.predicted_tokens(docs, "lang", "n_chars", "doc_id", WEIGHTS, 7, 120)
 
 
-@query("""with n as (select lang, sum(n_chars) as t from documents where lang in ('de', 'en', 'fr') group by lang), need as (select (2 * min(t) + 100)::bigint as need from n),
-e as (select max(ceil(need * (case lang when 'en' then 0.5::double else 0.25::double end) / t) + 1)::bigint as epochs from n, need),
-o as (select doc_id, lang, epoch, n_chars, (coalesce(sum(n_chars) over (partition by lang order by epoch, sha256('7' || chr(0) || epoch::varchar || chr(0) || doc_id::varchar), doc_id rows between unbounded preceding and 1 preceding), 0) / (case lang when 'en' then 0.5::double else 0.25::double end))::double as quota,
-case lang when 'de' then 0 when 'en' then 1 else 2 end as s from documents, (select unnest(range(epochs)) as epoch from e) where lang in ('de', 'en', 'fr')),
-r as (select doc_id, lang, epoch, coalesce(sum(n_chars) over (order by quota, s, epoch, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as seen from o)
+@query(f"""with n as (select lang, sum(n_chars) as t from documents group by lang), need as (select (2 * min(t) + 100)::bigint as need from n), e as (select max(ceil(need * {WEIGHT} / t) + 1)::bigint as epochs from n, need),
+o as (select doc_id, lang, epoch, n_chars, (coalesce(sum(n_chars) over (partition by lang order by epoch, sha256('7' || chr(0) || epoch::varchar || chr(0) || doc_id::varchar), doc_id rows between unbounded preceding and 1 preceding), 0) / {WEIGHT})::double as quota, {STRATUM} as s
+from documents, (select unnest(range(epochs)) as epoch from e)), r as (select doc_id, lang, epoch, coalesce(sum(n_chars) over (order by quota, s, epoch, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as seen from o)
 select doc_id, lang, epoch::integer as epoch, seen from r, need where seen < need""")
 def recycled_quota_order(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").filter(F.col("lang").isin(*WEIGHTS))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     least = docs.groupBy("lang").agg(F.sum("n_chars").alias("t")).agg(F.min("t").alias("t")).first().t
     found = sampling.recycled(docs, "lang", "n_chars", "doc_id", WEIGHTS, 7, 2 * least + 100)
     return found.select("doc_id", "lang", "epoch", F.col("seen").cast("long").alias("seen"))
