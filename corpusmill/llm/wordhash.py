@@ -43,13 +43,14 @@ class Hasher:
         # The place of each byte in its word; what follows a word up to the next one has value 0.
         sizes = np.diff(np.append(starts, len(raw)))
         place = np.arange(starts[0], len(raw)) - np.repeat(starts, sizes)
-        if (longest := int((ends - starts).max())) > self.factors.shape[1]:
+        if (longest := int(sizes.max())) > self.factors.shape[1]:
             self.factors = np.concatenate([self.factors, self._odd(2, longest)], axis=1)
-        place = np.minimum(place, self.factors.shape[1] - 1)
         own, first, last = raw[starts[0] :], starts - starts[0], ends - starts[0]
-        out = []
+        out, total = [], np.zeros(len(own) + 1, np.uint64)
         for values, factors in zip(self.values, self.factors):
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[own] * factors[place], dtype=np.uint64)])
+            terms = values.take(own)
+            terms *= factors.take(place)
+            np.cumsum(terms, out=total[1:])
             out.append(total[last] - total[first])
         return starts, ends, out[0], out[1]
 
@@ -164,7 +165,9 @@ class Words(ABC):
             yield at, np.searchsorted(starts, np.cumsum([1] + [len(r) + 1 for r in own]))
 
     def _at(self, hashes: np.ndarray, seconds: np.ndarray, buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        keys, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        keys, inverse = np.unique(hashes, return_inverse=True)
+        where = np.zeros(len(keys), np.int64)
+        where[inverse] = np.arange(len(hashes))
         second = seconds[where]
         if (second[inverse] != seconds).any():
             raise Clash
