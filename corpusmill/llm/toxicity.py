@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import WORD, materialize, packed, unpacked, workers
 from corpusmill.llm.simhash import fingerprint
-from corpusmill.llm.wordhash import Rows
+from corpusmill.llm.wordhash import Rows, ranges
 
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 SAMPLE = 1500
 #: Tokens of a block of documents that fitting passes over at once.
-BLOCK = 1_000_000
+BLOCK = 300_000
 #: Documents of the sample that a feature has to be in.
 MIN_DOCS = 4
 #: A token of a toxic document is labelled when a feature of it has such log odds of toxic to other
@@ -187,28 +187,33 @@ def fit(texts: list[str], labels: list[int], weights: list[float] | None = None)
         return None
     number: dict[bytes, int] = {}
     docs = [np.fromiter((number.setdefault(c, len(number)) for c in t.encode("utf-8", "surrogatepass").lower().split()), np.int32) for t in texts]
-    of = [features(c.decode("utf-8", "replace")) for c in number]
-    in_docs, in_toxic = Counter(), Counter()
+    # Features by number, each string held once: of the words in turn, and of all together in whole arrays.
+    numbered: dict[str, int] = {}
+    flat, sizes = array("i"), array("i")
+    for c in number:
+        own = features(c.decode("utf-8", "replace"))
+        flat.extend(numbered.setdefault(f, len(numbered)) for f in own)
+        sizes.append(len(own))
+    del number
+    flat, sizes = np.asarray(flat, np.int32), np.asarray(sizes, np.int64)
+    starts = np.cumsum(sizes) - sizes
+    in_docs, in_toxic = np.zeros(len(numbered), np.int64), np.zeros(len(numbered), np.int64)
     for d, label in zip(docs, labels):
-        own = {f for c in np.unique(d).tolist() for f in of[c]}
-        in_docs.update(own)
-        if label:
-            in_toxic.update(own)
+        words = np.unique(d)
+        own = np.unique(flat[ranges(starts[words], sizes[words])])
+        in_docs[own] += 1
+        in_toxic[own] += label
     n1, n0 = int(y.sum()), int((1 - y).sum())
-    names = [f for f, n in in_docs.items() if n >= MIN_DOCS]
-    at = {f: i for i, f in enumerate(names)}
-
-    def tells(f: str) -> bool:
-        a, b = in_toxic[f], in_docs[f] - in_toxic[f]
-        odds = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
-        share = (a + b) / (n1 + n0)
-        return odds > ODDS and (a / n1 - b / n0) / math.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12) > DEVIATES
-
-    marked = np.array([any(tells(f) for f in fs) for fs in of], bool)
-    ids = [[at[f] for f in fs if f in at] for fs in of]
-    word = np.repeat(np.arange(len(ids)), [len(own) for own in ids])
-    feature = np.array([i for own in ids for i in own], np.int64)
-    del in_docs, in_toxic, of, ids
+    a, b, share = in_toxic, in_docs - in_toxic, in_docs / (n1 + n0)
+    odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
+    tells = (odds > ODDS) & ((a / n1 - b / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12) > DEVIATES)
+    word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    marked = np.bincount(word, tells[flat], minlength=len(sizes)) > 0
+    common = in_docs >= MIN_DOCS
+    place = np.cumsum(common) - 1
+    names = {f: int(place[i]) for f, i in numbered.items() if common[i]}
+    word, feature = word[common[flat]], place[flat[common[flat]]]
+    del numbered, flat, starts, in_docs, in_toxic, a, b, share, odds, tells
     # Blocks of documents, so that the passes need little memory; of each token its word and target.
     blocks = []
     for part in np.array_split(np.arange(len(docs)), max(1, sum(map(len, docs)) // BLOCK)):
@@ -245,7 +250,7 @@ def fit(texts: list[str], labels: list[int], weights: list[float] | None = None)
     X = np.concatenate([evidence(c.marginals(e[own], trans, first)[0], c.lengths) for c, own, _ in blocks])
     scale = np.ones(len(y)) if weights is None else np.asarray(weights)
     keep = np.repeat(np.arange(len(y)), np.maximum(1, np.round(scale)).astype(int))
-    used = {f: float(w[i]) for f, i in at.items() if abs(w[i]) > 1e-3}
+    used = {f: float(w[i]) for f, i in names.items() if abs(w[i]) > 1e-3}
     return Model(used, trans, first, bias, logistic(X[keep], y[keep]))
 
 
