@@ -1,4 +1,4 @@
-"""Scalar parts of a training run: learning-rate schedule, budget and closeness of numbers."""
+"""Scalar parts of a training run: learning-rate schedule, budget, quotients and closeness of numbers."""
 
 from __future__ import annotations
 
@@ -46,3 +46,15 @@ def finite(x: Column) -> Column:
 
 def close(a: Column, b: Column, relative: float, absolute: float) -> Column:
     return F.abs(a - b) <= F.greatest(F.lit(relative) * F.greatest(F.abs(a), F.abs(b)), F.lit(absolute))
+
+
+def quotient(a: Column, b: Column) -> Column:
+    """a / b as IEEE 754 has it: infinite or NaN where b is zero, no error and no null."""
+    return F.when(b == 0, a * F.pow(b.cast("double"), F.lit(-1.0))).otherwise(F.try_divide(a, b))
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """x rounded as SQL's engines round doubles: scaled in binary, halves away from zero, its sign kept. F.round goes
+    by the decimal form, which differs where scaling meets a half or misses it."""
+    scaled = x * float(10**digits)
+    return F.when(finite(scaled), F.signum(x) * F.round(F.abs(scaled)) / float(10**digits)).otherwise(x)

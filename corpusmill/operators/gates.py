@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.ident import content_digest
-from corpusmill.functions.schedule import close, finite
+from corpusmill.functions.schedule import close, finite, quotient, rounded
 from corpusmill.functions.text import SHA256, full_match
 from corpusmill.operators.splits import NAMES, RATIOS, with_split
 
@@ -198,17 +198,20 @@ def balance(counts: DataFrame, frozen: DataFrame, key: Sequence[str]) -> DataFra
     return both.filter(~(F.col("examples").eqNullSafe(F.col("expected_examples")) & F.col("tokens").eqNullSafe(F.col("expected_tokens"))))
 
 
-def metrics_facts(log: DataFrame, losses: Sequence[str]) -> DataFrame:
-    """One row of a training log (line, event, step, train_loss, gradient_norm, losses..): for each loss its baseline, best
-    and final value; the final step; baselines; numbers that aren't finite."""
-    first, *rest = losses
+def metrics_facts(log: DataFrame, losses: Sequence[str], missing_fails: bool = True) -> DataFrame:
+    """One row of a training log (line, event, step, train_loss, gradient_norm, losses..): for each loss its baseline (the
+    least, where lines repeat), best and final value; the final step; baselines; numbers that aren't finite. A log
+    without rows has null counts, as it shows nothing. Missing numbers count as not finite if missing_fails."""
+    first = losses[0]
+    sound = finite if missing_fails else lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))
     base, evaluated = F.col("event") == "baseline", F.col("train_loss").isNotNull() & F.col(first).isNotNull()
-    needed = F.when(base | evaluated, reduce(lambda a, b: a & b, [finite(F.col(c)) for c in losses])).otherwise(True)
-    trained = F.when(F.col("train_loss").isNotNull(), finite(F.col("train_loss")) & finite(F.col("gradient_norm"))).otherwise(True)
-    out = [F.count_if(base).alias("baselines"), F.count_if(~(needed & trained)).alias("unfinite"), F.max_by(F.when(evaluated, F.col("step")), F.when(evaluated, F.col("line"))).alias("final_step")]
+    needed = F.when(base | evaluated, reduce(lambda a, b: a & b, [sound(F.col(c)) for c in losses])).otherwise(True)
+    trained = F.when(F.col("train_loss").isNotNull(), sound(F.col("train_loss")) & sound(F.col("gradient_norm"))).otherwise(True)
+    counted = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    out = [counted(base).alias("baselines"), counted(~(needed & trained)).alias("unfinite"), F.max_by(F.when(evaluated, F.col("step")), F.when(evaluated, F.col("line"))).alias("final_step")]
     out += [F.min(F.when(base, F.col("line"))).alias("baseline_line"), F.min(F.when(evaluated, F.col("line"))).alias("first_line")]
     for c in losses:
-        out += [F.min_by(F.when(base, F.col(c)), F.when(base, F.col("line"))).alias(f"baseline_{c}"), F.min(F.when(evaluated, F.col(c))).alias(f"best_{c}")]
+        out += [F.min(F.when(base & F.col(c).isNotNull(), F.struct("line", c)))[c].alias(f"baseline_{c}"), F.min(F.when(evaluated, F.col(c))).alias(f"best_{c}")]
         out += [F.max_by(F.when(evaluated, F.col(c)), F.when(evaluated, F.col("line"))).alias(f"final_{c}")]
     return log.agg(*out)
 
@@ -223,20 +226,20 @@ def acceptance(facts: DataFrame, losses: Sequence[str], steps: int, regress: flo
         check(facts, "baseline-first", ahead, F.col("baselines")),
         check(facts, "finite-metrics", F.col("unfinite") == 0, F.col("unfinite")),
         check(facts, "final-step", F.col("final_step") == steps, F.col("final_step")),
-        *[check(facts, f"improves-{c}", F.col(f"final_{c}") < F.col(f"baseline_{c}"), F.round(F.col(f"final_{c}") - F.col(f"baseline_{c}"), 6)) for c in losses],
-        check(facts, "near-best", final <= regress * best, F.round(F.try_divide(final, best), 6)),
-        check(facts, "halved", final <= halve * base, F.round(F.try_divide(final, base), 6)),
+        *[check(facts, f"improves-{c}", F.col(f"final_{c}") < F.col(f"baseline_{c}"), rounded(F.col(f"final_{c}") - F.col(f"baseline_{c}"), 6)) for c in losses],
+        check(facts, "near-best", final <= regress * best, rounded(quotient(final, best), 6)),
+        check(facts, "halved", final <= halve * base, rounded(quotient(final, base), 6)),
     ]
     return gate(*checks)
 
 
 def coverage(facts: DataFrame, most: float = 1.01) -> DataFrame:
     """The checks of a budget: facts (global_step, max_steps, tokens_seen, target_tokens, reported)."""
-    share = F.try_divide(F.col("tokens_seen"), F.col("target_tokens"))
+    share = quotient(F.col("tokens_seen"), F.col("target_tokens"))
     return gate(
         check(facts, "budget-steps", F.col("global_step") == F.col("max_steps"), F.col("global_step")),
-        check(facts, "token-coverage", share.between(1.0, most), F.round(share, 9)),
-        check(facts, "reported-coverage", close(share, F.col("reported"), 0.0, 1e-12), F.round("reported", 9)),
+        check(facts, "token-coverage", share.between(1.0, most), rounded(share, 9)),
+        check(facts, "reported-coverage", finite(share) & close(share, F.col("reported"), 0.0, 1e-12), rounded(F.col("reported"), 9)),
     )
 
 

@@ -6,10 +6,12 @@ import math
 import os
 
 import pytest
+from compare import TABLES, connection, differences
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text
 from corpusmill.operators import chats, contamination, evaluation, gates, records, sampling, suite, tokenization
+from corpusmill.plans import ENTRIES
 from corpusmill.sources import files
 from corpusmill.streaming import metrics
 
@@ -158,6 +160,41 @@ def test_a_log_without_its_baseline_first(spark):
     facts = gates.metrics_facts(spark.createDataFrame(rows, LOG), ["eval_loss"])
     assert {r.name for r in gates.acceptance(facts, ["eval_loss"], 4).collect() if r.status == "fail"} == {"baseline-first", "final-step"}
 
+EVENTS = "event_id long, user_id long, value double"
+STEPS = [(0, 1, 1.28), (10, 1, 0.5), (20, 1, 0.53)]
+
+
+@pytest.mark.parametrize(
+    "events",
+    [
+        [*STEPS, (30, 1, 0.0), (40, 1, 2.0)],  # infinite beside its best
+        [*STEPS, (30, 1, 0.0)],  # no number beside its best
+        [*STEPS, (30, 1, -2.0), (40, 1, -0.0)],
+        [(0, 1, 0.64), (10, 1, 0.041)],  # a quotient of 0.0640625
+        [(0, 1, 2.0), (10, 1, 1.9999999)],
+        [(0, 1, 2.0), (10, 1, 1.0), (20, 1, math.nan)],
+        [(0, 1, 3.0), (0, 1, 2.0), (0, 1, None), (10, 1, 1.0)],
+        [(0, 1, 3.0)],
+        [],
+    ],
+)
+def test_acceptance_of_odd_logs_is_its_sql(spark, sf_dir, tmp_path, events):
+    for t in TABLES:
+        if t != "events":
+            (tmp_path / f"{t}.parquet").symlink_to(f"{sf_dir}/{t}.parquet")
+    spark.createDataFrame(events, EVENTS).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("gate_acceptance", "gate_acceptance_tampered"):
+        assert differences(ENTRIES[name].query(spark, str(tmp_path)), connection(str(tmp_path)).sql(ENTRIES[name].sql)) == ""
+
+
+def test_a_budget_of_nothing_is_its_sql(spark, sf_dir, tmp_path):
+    for t in TABLES:
+        if t != "documents":
+            (tmp_path / f"{t}.parquet").symlink_to(f"{sf_dir}/{t}.parquet")
+    spark.createDataFrame([(1, 4), (2, 6)], "doc_id long, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    assert differences(ENTRIES["gate_budget"].query(spark, str(tmp_path)), connection(str(tmp_path)).sql(ENTRIES["gate_budget"].sql)) == ""
+
+
 
 def test_machine_checks(spark, tmp_path):
     found = {r.name: r.status for r in gates.doctor(spark, str(tmp_path), packages={"pyspark": None, "no-such-package": None, "numpy": "0.0.1"}, free_gib=1e9).collect()}
