@@ -4,8 +4,9 @@ Every learnt language has a model of ORDER characters within words, counted over
 tasks count words, then their n-grams, and only n-gram counts are shuffled. Lower orders use
 continuation counts, every order its own absolute discount. The models of all languages share one
 sorted array of n-gram hashes per order, with the probabilities of the languages that know each. A text gets the
-language of lowest cross-entropy per character; a limit per language, calibrated on learning texts,
-marks texts that no model explains (column rejected).
+language of lowest cross-entropy per character; a limit per language, calibrated on all learning texts,
+marks texts that no model explains (column rejected). Bits are whole numbers of a small unit, so sums are exact:
+results depend neither on the order of rows nor on where the models are held.
 
 Defined cases: null text, or text without a letter, is `und` with score 0; rows without a language, or
 whose id's fold is held out, are never learnt from; a null doc_id is held out; with nothing to learn
@@ -15,16 +16,17 @@ rows are beside them; an empty table gives an empty result; further columns are
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import bounded_sample, materialize, workers
+from corpusmill.llm.common import materialize, workers
 from corpusmill.llm.wordhash import Rows, ranges, sums
 
 ORDER = 4
@@ -33,10 +35,10 @@ UNKNOWN = "und"
 START, END = "\x02", "\x03"
 #: Distinct words that a task counts before it hands on their n-grams.
 WORDS = 200_000
-#: Rows that the rejection limits are calibrated on.
-CALIBRATION_ROWS = 1000
 #: N-grams of all languages up to which their models are held by every worker, some 40 bytes each.
 BROADCAST_GRAMS = 5_000_000
+#: Bits are counted in this part of one; their sums are exact in a double up to some 100 million characters.
+UNIT = 2.0**-20
 #: Standard deviations above a language's mean cross-entropy from which a text is marked.
 LIMIT_SD = 5.0
 #: Characters whose evidence the score counts at most.
@@ -131,7 +133,6 @@ class Model:
     languages: list[str]
     orders: list[Order]
     floor: float  # probability of a character under no model
-    limits: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
 
 def _row_hashes(codes: np.ndarray) -> np.ndarray:
@@ -173,8 +174,13 @@ def build(counts: dict[str, dict[str, int]]) -> Model | None:
     return assembled(languages, codes, lang, np.array([n for k in languages for n in counts[k].values()], np.int64))
 
 
+def units(p: np.ndarray) -> np.ndarray:
+    """Bits of probabilities, in UNITs."""
+    return np.rint(-np.log2(p) / UNIT)
+
+
 def word_bits(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bits of each word (of letters) under each language, and its characters with the end mark."""
+    """Bits of each word (of letters) under each language in UNITs, and its characters with the end mark."""
     lengths = np.array([len(w) + 1 if w else 0 for w in words])
     padded = [START * (ORDER - 1) + w + END for w in words if w]
     bits = np.zeros((len(words), len(model.languages)))
@@ -191,7 +197,7 @@ def word_bits(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         context = _hashes(codes, k - 1)[ends - k + 1] if k > 1 else np.zeros(len(ends), np.uint64)
         p = order.share(h, p.shape[1]) + order.rest(context, p.shape[1]) * p
     firsts = np.cumsum(sizes) - sizes
-    bits[lengths > 0] = np.add.reduceat(-np.log2(p), firsts, axis=0)
+    bits[lengths > 0] = np.add.reduceat(units(p), firsts, axis=0)
     return bits, lengths
 
 
@@ -203,15 +209,19 @@ class Identifier:
     def _rows(self, chunks: list[bytes]) -> np.ndarray:
         return np.column_stack(word_bits(self.model, [letters(c.decode("utf-8", "replace")) for c in chunks]))
 
-    def entropy(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """Bits per character of each text (UTF-8) under each language, and its characters (0: no letter)."""
+    def totals(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of each text (UTF-8) under each language in UNITs, and its characters (0: no letter)."""
         parts = [sums(*part) for part in self.known([(t or b"").lower() for t in texts])]
         total = np.concatenate([np.zeros((0, self.known.width)), *parts])
-        chars = np.rint(total[:, -1]).astype(np.int64)
-        return total[:, :-1] / np.maximum(chars, 1)[:, None], chars
+        return total[:, :-1], np.rint(total[:, -1]).astype(np.int64)
+
+    def entropy(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Bits per character of each text (UTF-8) under each language, and its characters (0: no letter)."""
+        total, chars = self.totals(texts)
+        return total * UNIT / np.maximum(chars, 1)[:, None], chars
 
-    def __call__(self, texts) -> pd.DataFrame:
-        return named(*self.entropy(texts), self.model.languages, self.model.limits)
+    def __call__(self, texts, taught) -> pd.DataFrame:
+        return answers(*self.totals(texts), self.model.languages, taught)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -249,49 +259,68 @@ def _counts(docs: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, counts: DataFrame | None = None) -> Model | None:
     """The models of all languages of docs (doc_id, text, lang), held-out rows left out."""
-    model = assembled(*_collected(_counts(docs) if counts is None else counts))
-    if model is None:
-        return None
-    rows = _learning(docs).select("doc_id", "lang", F.col("text").cast("binary").alias("text"))
-    sample = sorted(bounded_sample(rows, CALIBRATION_ROWS).collect())
-    h, chars = Identifier(model).entropy([bytes(r.text) for r in sample])
-    model.limits = np.full(len(model.languages), np.inf)
-    for j, lang in enumerate(model.languages):
-        own = h[[r.lang == lang and n > 0 for r, n in zip(sample, chars)], j]
-        if len(own) > 1:
-            model.limits[j] = own.mean() + LIMIT_SD * own.std()
-    return model
-
-
-def named(h: np.ndarray, chars: np.ndarray, languages: list[str], limits: np.ndarray) -> pd.DataFrame:
-    """(lang_pred, score, rejected) from cross-entropies by language and numbers of characters."""
-    best = h.argmin(1)
-    least = h[np.arange(len(h)), best]
-    sharp = np.minimum(chars, SHARPNESS)[:, None]
+    return assembled(*_collected(_counts(docs) if counts is None else counts))
+
+
+ANSWER = "struct<lang_pred:string,score:double,least:long,own:long>"
+
+
+def answers(total: np.ndarray, chars: np.ndarray, languages: list[str], taught) -> pd.DataFrame:
+    """(lang_pred, score, least, own) from bits by language in UNITs and numbers of characters. least is the cross-entropy
+    in UNITs under lang_pred, null without letters; own that under the language a learning row teaches, null for others.
+    What a row teaches has no part in its prediction."""
+    h = total / np.maximum(chars, 1)[:, None]
+    row, best = np.arange(len(h)), h.argmin(1)
+    least = h[row, best]
+    sharp = np.minimum(chars, SHARPNESS)[:, None] * UNIT
     score = np.where(chars > 0, 1 / np.exp2(-(h - least[:, None]) * sharp).sum(1), 0.0)
-    limit = limits[best] if len(limits) else np.full(len(h), np.inf)
-    return pd.DataFrame({"lang_pred": np.where(chars > 0, np.array(languages, object)[best], UNKNOWN), "score": score, "rejected": (chars == 0) | (least > limit)})
+    place = {x: j for j, x in enumerate(languages)}
+    at = np.array([place.get(x, -1) for x in taught], np.int64)
+    whole = lambda x, known: pd.arrays.IntegerArray(np.rint(x).astype(np.int64), ~known)
+    pred = np.where(chars > 0, np.array(languages, object)[best], UNKNOWN)
+    return pd.DataFrame({"lang_pred": pred, "score": score, "least": whole(least, chars > 0), "own": whole(h[row, at], (chars > 0) & (at >= 0))})
 
 
-ANSWER = "struct<lang_pred:string,score:double,rejected:boolean>"
+def _rows(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, held_out, taught, text): taught is the language of a learning row, text binary."""
+    out = F.col("text").isNull() | held_out(F.col("doc_id"))
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.when(~out, F.col("lang")).alias("taught"), F.col("text").cast("binary").alias("text"), *more)
 
 
 def language_report(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) for every row of docs (doc_id, text, lang). Models of at most
-    BROADCAST_GRAMS n-grams go to every worker; larger ones stay tables, which the documents' n-grams meet in joins."""
+    BROADCAST_GRAMS n-grams go to every worker; larger ones stay tables, which the documents' n-grams meet in joins,
+    with the same numbers. Limits of rejection come from all learning rows, once all rows have answers."""
     counts = _counts(docs)
-    if counts.count() > BROADCAST_GRAMS:
-        return joined_report(docs, counts)
-    model = learn(docs, counts)
+    n = counts.count()
+    if not n:
+        return _rows(docs).select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+    answered = joined_answers(docs, counts) if n > BROADCAST_GRAMS else held_answers(docs, learn(docs, counts))
+    return _limited(materialize(answered.select("doc_id", "held_out", "taught", "x.*"), "language-answers"))
+
+
+def held_answers(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, held_out, taught, x: ANSWER) by a model that every worker holds."""
 
     @F.pandas_udf(ANSWER)
-    def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        identifier = Identifier(model) if model else None
-        for texts in batches:
-            yield identifier(texts) if identifier else pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "score": 0.0, "rejected": True})
+    def identify(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        identifier = Identifier(model)
+        for texts, taught in batches:
+            yield identifier(texts, taught)
+
+    return _rows(docs).select("doc_id", "held_out", "taught", identify("text", "taught").alias("x"))
 
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), identify(F.col("text").cast("binary")).alias("x"))
-    return rows.select("doc_id", "held_out", "x.lang_pred", "x.score", "x.rejected")
+
+def _limited(answered: DataFrame) -> DataFrame:
+    """The report of a table of answers. A language's limit is LIMIT_SD standard deviations above the mean of what its
+    learning rows have, from sums that are exact."""
+    spread = answered.filter("own is not null").groupBy("taught").agg(
+        F.count("*").alias("n"), F.sum("own").alias("s"), F.sum((F.col("own") * F.col("own")).cast("decimal(38,0)")).alias("q")
+    )
+    limits = [(r.taught, (r.s + LIMIT_SD * math.sqrt(r.n * int(r.q) - r.s**2)) / r.n) for r in spread.collect() if r.n > 1]  # a row a language
+    known = answered.sparkSession.createDataFrame(limits, "lang_pred string, limit double")
+    rejected = F.col("least").isNull() | F.coalesce(F.col("least") > F.col("limit"), F.lit(False))
+    return answered.join(F.broadcast(known), "lang_pred", "left").select("doc_id", "held_out", "lang_pred", "score", rejected.alias("rejected"))
 
 
 # --- models too large for a worker ----------------------------------------------------------------------
@@ -311,7 +340,13 @@ def _by_language(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def _gram_bits(asked: DataFrame, counts: DataFrame, languages: list[str]) -> DataFrame:
-    """(gram, bits) of asked (gram): the bits of its last character after the others, an array by language."""
+    """(gram, bits) of asked (gram): the bits of its last character after the others in UNITs, an array by language."""
+
+    @F.pandas_udf("array<long>")
+    def bits(p: pd.Series) -> pd.Series:
+        return pd.Series(list(units(np.stack(p)).astype(np.int64)) if len(p) else [], dtype=object)  # as word_bits() has them
+
+
     orders, table = [], counts
     for k in range(ORDER, 0, -1):
         told = table.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"))  # a row a language
@@ -330,32 +365,23 @@ def _gram_bits(asked: DataFrame, counts: DataFrame, languages: list[str]) -> Dat
         own = own.join(share.withColumnRenamed("gram", "__g"), "__g", "left").join(rest.withColumnRenamed("context", "__c"), "__c", "left")
         given = F.transform(names, lambda x: F.struct(F.coalesce(F.try_element_at("share", x), F.lit(0.0)).alias("s"), F.coalesce(F.try_element_at("rest", x), F.lit(1.0)).alias("r")))
         out = own.select("gram", F.zip_with(given, "p", lambda g, p: g.s + g.r * p).alias("p"))
-    return out.select("gram", F.transform("p", lambda p: -F.log2(p)).alias("bits"))
+    return out.select("gram", bits("p").alias("bits"))
 
 
-def joined_report(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """language_report() by joins: each document's n-grams and their numbers meet the n-grams' bits. No model is held
-    by a worker or the driver, and rejection limits come from all learning rows."""
+def joined_answers(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """held_answers() by joins: each document's n-grams and their numbers meet the n-grams' bits. No model is held by a
+    worker or the driver."""
     languages = sorted(r.lang for r in counts.select("lang").distinct().collect())  # a row a language
-    rows = materialize(docs.select("doc_id", "lang", F.col("text").isNull().alias("none"), F.col("text").cast("binary").alias("text"), F.monotonically_increasing_id().alias("rid")), "language-rows")
+    rows = materialize(_rows(docs, F.monotonically_increasing_id().alias("rid")), "language-rows")
     own = materialize(rows.select("rid", "text").mapInPandas(_row_grams, "rid long, gram string, n long"), "language-grams")
     bits = _gram_bits(own.select("gram").distinct(), counts, languages)
     sums = [F.sum(F.col("n") * F.col("bits")[j]).alias(f"b{j}") for j in range(len(languages))]
     total = own.join(bits, "gram").groupBy("rid").agg(F.sum("n").alias("chars"), *sums)
-    h = F.array(*[F.col(f"b{j}") / F.col("chars") for j in range(len(languages))])
-    scored = materialize(rows.drop("text").join(total.select("rid", "chars", h.alias("h")), "rid", "left"), "language-scores")
-    learnt = scored.filter(F.col("lang").isNotNull() & ~F.col("none") & (F.col("chars") > 0)).filter(~held_out(F.col("doc_id")))
-    place = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")).cast("int")
-    spread = learnt.select("lang", F.get("h", place - 1).alias("h")).groupBy("lang").agg(F.avg("h").alias("m"), F.stddev_pop("h").alias("s"), F.count("*").alias("n")).collect()
-    limits = np.full(len(languages), np.inf)
-    for r in spread:  # a row a language
-        if r.n > 1:
-            limits[languages.index(r.lang)] = r.m + LIMIT_SD * r.s
+    total = total.select("rid", "chars", F.array(*[f"b{j}" for j in range(len(languages))]).alias("total"))
 
     @F.pandas_udf(ANSWER)
-    def identify(h: pd.Series, chars: pd.Series) -> pd.DataFrame:
-        values = np.array([np.zeros(len(languages)) if x is None else x for x in h], float).reshape(-1, len(languages))
-        return named(values, chars.fillna(0).to_numpy(np.int64), languages, limits)
+    def identify(total: pd.Series, chars: pd.Series, taught: pd.Series) -> pd.DataFrame:
+        values = np.array([np.zeros(len(languages)) if x is None else x for x in total], float).reshape(-1, len(languages))
+        return answers(values, chars.fillna(0).to_numpy(np.int64), languages, taught)
 
-    out = scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), identify("h", "chars").alias("x"))
-    return out.select("doc_id", "held_out", "x.lang_pred", "x.score", "x.rejected")
+    return rows.drop("text").join(total, "rid", "left").select("doc_id", "held_out", "taught", identify("total", "chars", "taught").alias("x"))

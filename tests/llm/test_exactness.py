@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 
 from collections import Counter, defaultdict
 
@@ -321,6 +322,33 @@ def test_joined_models_say_the_same(spark, monkeypatch):
     assert get() == want and len(want) == len(rows)
 
 
+def test_languages_do_not_depend_on_size(spark, monkeypatch):
+    """More learning rows than a sample of 1000 had: limits come from all of them, wherever the models are held."""
+    rng = random.Random(11)
+    kinds = {"aa": ["ka", "lo", "mi"], "bb": ["sch", "ung", "er"]}
+
+    def made(parts, strange):
+        return " ".join("".join(rng.choices(parts if rng.random() > strange else "zxqwvjyh", k=3)) for _ in range(12))
+
+    rows = [(i, made(kinds[k], rng.random() * 0.2), k) for i in range(1700) for k in [rng.choice(list(kinds))]]
+    rows += [(i, made(kinds["aa"], rng.random()), None) for i in range(1700, 2100)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", lang string")
+    get = lambda df: sorted(map(tuple, langid.language_report(df).collect()))
+    held = get(docs)
+    model = langid.learn(docs)
+    h, chars = langid.Identifier(model).entropy([t.encode() for _, t, _ in rows])
+    learnt = [zlib.crc32(str(i).encode()) % langid.FOLDS != langid.HELD_OUT and lang is not None for i, _, lang in rows]
+    limit = {}
+    for j, lang in enumerate(model.languages):
+        own = h[[ok and r[2] == lang for ok, r in zip(learnt, rows)], j]
+        limit[lang] = own.mean() + langid.LIMIT_SD * own.std()
+    least = {r[0]: v for r, v in zip(rows, h.min(1))}
+    assert sum(learnt) > 1200 and 20 < sum(r[4] for r in held) < 380
+    assert [r[4] for r in held] == [bool(least[r[0]] > limit[r[2]]) for r in held]
+    monkeypatch.setattr(langid, "BROADCAST_GRAMS", 0)
+    assert get(docs.repartition(3)) == held  # to the last bit
+
+
 def test_ties_and_long_texts_of_languages(spark):
     rows = [(i, "kala maka", lang) for i in range(40) for lang in ("bb", "aa")] + [(100, "kala " * 60_000, None)]
     got = langid.language_report(spark.createDataFrame(rows, SCHEMA + ", lang string")).collect()
