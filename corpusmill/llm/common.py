@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +29,31 @@ def workers(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda pad: 0
+
+
+def give_back() -> None:
+    """Return memory that this process has freed to the system: the allocators keep it otherwise, and as workers stay
+    for later stages, each would go on holding what its largest batch took, beside the executor's heap."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def released(batches: Iterator) -> Iterator:
+    """batches; what one has left free is given back before the next, and after the last."""
+    for batch in batches:
+        yield batch
+        del batch
+        give_back()
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once: a lambda variable, which the optimizer can't copy into
     the places that use it."""

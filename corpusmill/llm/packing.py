@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import workers, materialize
+from corpusmill.llm.common import workers, materialize, released
 from corpusmill.llm.wordhash import Growing, Words, ranges
 
 CAPACITY = 2048
@@ -160,7 +160,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator:
     @F.pandas_udf(PIECES)
     def divide(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = _encoder(tokenizer)
-        for texts in batches:
+        for texts in released(batches):
             yield pd.Series([cut(ids, capacity, separator) for ids in encoder(texts)], dtype=object)
 
     workers(docs.sparkSession)

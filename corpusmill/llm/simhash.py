@@ -13,12 +13,14 @@ empty result; further columns are ignored (drop_near_duplicates keeps them)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import workers, connected_components, materialize, packed, unpacked
+from corpusmill.llm.common import workers, connected_components, give_back, materialize, packed, released, unpacked
 
 RADIUS = 3
 SHINGLE = 3
@@ -117,13 +119,16 @@ def _bucket_edges(radius: int):
 def _with_end(batches):
     for pdf in batches:
         yield False, pdf
+        del pdf
+    give_back()  # once a task, as batches are short
     yield True, None
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
     @F.pandas_udf("long")
-    def compute(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t) for t in texts], dtype="int64")
+    def compute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in released(batches):
+            yield pd.Series([fingerprint(t) for t in texts], dtype="int64")
 
     workers(docs.sparkSession)
     return docs.withColumn(out, compute(F.col(text)))

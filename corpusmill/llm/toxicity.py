@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import WORD, materialize, packed, unpacked, workers
+from corpusmill.llm.common import WORD, give_back, materialize, packed, released, unpacked, workers
 from corpusmill.llm.simhash import fingerprint
 from corpusmill.llm.wordhash import Rows, ranges
 
@@ -319,9 +319,11 @@ def with_scores(docs: DataFrame, model: Model | None) -> DataFrame:
     @F.pandas_udf(f"struct<score:double,spans:{SPANS}>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model) if model else None
-        for texts in batches:
+        for texts in released(batches):
             values, spans = scorer(texts) if scorer else (np.zeros(len(texts)), [[] for _ in texts])
             yield pd.DataFrame({"score": values, "spans": [[{"start": a, "end": b} for a, b in own] for own in spans]})
+        del scorer
+        give_back()
 
     workers(docs.sparkSession)
     return docs.withColumn("toxicity", score(F.col("text").cast("binary")))

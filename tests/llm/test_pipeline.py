@@ -39,3 +39,42 @@ def test_queries_with_sql(spark, sf_dir):
 
     for name, sql in queries.oracle_sql().items():
         assert differences(queries.queries()[name](spark, sf_dir), connection(sf_dir).sql(sql)) == "", name
+
+
+def test_workers_give_memory_back(spark):
+    """Workers stay for later stages: what a stage's batches took isn't held on to."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from corpusmill.llm import packing, simhash, toxicity
+    from corpusmill.llm.queries import vocabulary
+
+    @F.pandas_udf("long")
+    def held(x: pd.Series) -> pd.Series:
+        import ctypes
+        import re
+        from pathlib import Path
+
+        import pyarrow as pa
+
+        def used() -> int:
+            return sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())))
+
+        before = used()
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+        return x * 0 + before - used()
+
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4000)), lambda i: F.substring(F.md5(F.concat_ws(":", F.col("id"), i)), 1, 7)), " ")
+    docs = spark.range(0, 2400, 1, 4).select(F.col("id").alias("doc_id"), words.alias("text")).cache()
+    model = toxicity.Model({"a": 1.0}, np.zeros((2, 2)), -2.0, -2.0, np.zeros(4))
+    for name, stage in {
+        "packing": lambda: packing.pieces(docs, vocabulary("word_bpe_49k.json")),
+        "simhash": lambda: simhash.with_fingerprints(docs),
+        "toxicity": lambda: toxicity.with_scores(docs, model),
+    }.items():
+        stage().write.format("noop").mode("overwrite").save()
+        most = spark.range(0, 4, 1, 4).select(held("id").alias("kb")).agg(F.max("kb")).first()[0]
+        print(name, most)
+        assert most < 24_000, (name, most)
